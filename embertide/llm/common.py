@@ -34,9 +34,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def prefetch_free(name: str) -> str:
-    """A column name no input table is likely to use; operators add only such names to caller rows."""
-    return f"__ember_{name}"
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew if its input has fewer splits than the cluster has cores (a small single file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def heavy_lookup(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 1000) -> DataFrame:

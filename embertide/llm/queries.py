@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from embertide.llm import chat_format, exact_dedup
+from embertide.llm import chat_format, decontaminate, exact_dedup, mixing, pii, toxicity
 
 QUERIES = {
+    "op2_mix_sources": mixing.op2_mix_sources,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_pii": pii.op8_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
