@@ -1,11 +1,53 @@
-"""Document pipeline: stages over the documents table, each reading what its predecessor kept."""
+"""Document pipeline: toxicity, exact dedup, near dedup, decontamination, then the mix of sources.
 
-STAGES = []
+Each stage works on all rows its predecessor kept and returns the columns of documents;
+the last one returns the mix (doc_id, source, block, slot, pos).
+"""
+
+from embertide.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
+from embertide.llm.common import materialize
+
+
+def toxic_stage(spark, docs, sf_dir):
+    """Documents that the model scores below 0.5. Backoff counts come from the stage's own input."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def exact_stage(spark, docs, sf_dir):
+    """The first document of each exact text."""
+    return exact_dedup.drop_copies(docs)
+
+
+def near_stage(spark, docs, sf_dir):
+    """One document of each near-duplicate component."""
+    return near_dedup.drop_near(docs)
+
+
+def benchmark_stage(spark, docs, sf_dir):
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_stage(spark, docs, sf_dir):
+    """The place of each remaining document in the mix."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("decontaminate", benchmark_stage),
+    ("mix", mix_stage),
+]
+#: The scores, links and template windows of three stages have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The stages over documents, each result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
