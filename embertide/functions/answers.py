@@ -1,0 +1,51 @@
+"""Answers read from text: numbers, boxed LaTeX, chat completions."""
+
+from __future__ import annotations
+
+from fractions import Fraction
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+
+
+def number_answer(text: Column) -> Column:
+    """The number after the last ####, else the last number, as DECIMAL(38,6); null without one."""
+    tail = F.when(text.contains("####"), F.element_at(F.split(text, "####"), -1)).otherwise(text)
+    found = F.regexp_extract_all(tail, F.lit(_NUMBER), F.lit(0))
+    pick = F.when(text.contains("####"), F.try_element_at(found, F.lit(1))).otherwise(F.try_element_at(found, F.lit(-1)))
+    return F.regexp_replace(pick, ",", "").try_cast("decimal(38,6)")
+
+
+def boxed(text: str) -> str | None:
+    """Content of the last \\boxed{...} whose braces balance."""
+    at = text.rfind("\\boxed{")
+    while at >= 0:
+        depth, start = 1, at + len("\\boxed{")
+        for i in range(start, len(text)):
+            depth += (text[i] == "{") - (text[i] == "}")
+            if depth == 0:
+                return text[start:i]
+        at = text.rfind("\\boxed{", 0, at)
+    return None
+
+
+def same_number(a: str, b: str) -> bool:
+    """Equal as rationals, else as text without spaces."""
+    try:
+        return Fraction(a.replace(",", "")) == Fraction(b.replace(",", ""))
+    except (ValueError, ZeroDivisionError):
+        return "".join(a.split()) == "".join(b.split())
+
+
+@F.pandas_udf(T.StringType())
+def boxed_udf(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else boxed(t))
+
+
+def last_message(messages: Column) -> Column:
+    """The content of the last message of a chat."""
+    return F.element_at(messages, -1).content
