@@ -33,13 +33,13 @@ def hindsight(df: DataFrame, episode: str, order: str, goal: str, strategy: str,
     A future index is t + hash mod (T - t), so that every engine can make it.
     """
     own = Window.partitionBy(episode)
-    rows = df.withColumns({"t": F.row_number().over(own.orderBy(order)) - 1, "T": F.count(F.lit(1)).over(own)})
+    rows = df.withColumns({"t": F.row_number().over(own.orderBy(order)) - 1, "len": F.count(F.lit(1)).over(own)})
     reached = rows.select(episode, F.col("t").alias("at"), F.col(goal).alias("new_goal"))
     if strategy == "final":
-        asked = rows.withColumn("at", F.col("T") - 1).withColumn("j", F.lit(0))
+        asked = rows.withColumn("at", F.col("len") - 1).withColumn("j", F.lit(0))
     elif strategy == "future":
         asked = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        asked = asked.withColumn("at", F.col("t") + F.pmod((F.col(order) * 31 + F.col("j") * 17 + 7), F.col("T") - F.col("t")))
+        asked = asked.withColumn("at", F.col("t") + F.pmod((F.col(order) * 31 + F.col("j") * 17 + 7), F.col("len") - F.col("t")))
     else:
         raise ValueError("strategy must be final or future")
     return asked.withColumn("at", F.col("at").cast("long")).join(reached.withColumn("at", F.col("at").cast("long")), [episode, "at"])

@@ -57,16 +57,16 @@ def policy_ess_floor(spark, sf):
     return B.decide(draws(spark, sf), B.Policy(ess_floor=0.5)).select("step", "draw", "reason")
 
 
-@query(DRAWS + """, m AS (SELECT step, grp, sum((w * exp(ratio))::DECIMAL(38,12))::DOUBLE AS mass, 0.05 * count(*) AS cap FROM d GROUP BY ALL)
+@query(DRAWS + """, m AS (SELECT step, grp, sum((w * exp(ratio))::DECIMAL(38,12))::DOUBLE AS mass, 0.0625 * count(*) AS cap FROM d GROUP BY ALL)
 SELECT step, draw, round(CASE WHEN mass > cap THEN cap / mass ELSE 1 END, 9) AS scale FROM d JOIN m USING (step, grp)""")
 def policy_mass_cap(spark, sf):
-    return B.decide(draws(spark, sf), B.Policy(mass_cap=-0.95)).select("step", "draw", F.round("scale", 9).alias("scale"))
+    return B.decide(draws(spark, sf), B.Policy(mass_cap=-0.9375)).select("step", "draw", F.round("scale", 9).alias("scale"))
 
 
-ALL = B.Policy(max_age=6, ess_floor=0.5, mass_cap=-0.9, max_log_ratio=0.06)
+ALL = B.Policy(max_age=6, ess_floor=0.5, mass_cap=-0.875, max_log_ratio=0.06)
 DECIDED = DRAWS + ", k AS (SELECT * FROM d WHERE age <= 6)" + VICTIMS.format("k") + """,
 one AS (SELECT d.*, CASE WHEN d.age > 6 THEN 'age' WHEN i < stop THEN 'ess' END AS r1 FROM d LEFT JOIN o USING (step, draw) LEFT JOIN stop ON stop.step = d.step),
-m AS (SELECT step, grp, sum((w * exp(ratio))::DECIMAL(38,12)) FILTER (WHERE r1 IS NULL)::DOUBLE AS mass, 0.1 * count(*) FILTER (WHERE r1 IS NULL) AS cap FROM one GROUP BY ALL),
+m AS (SELECT step, grp, sum((w * exp(ratio))::DECIMAL(38,12)) FILTER (WHERE r1 IS NULL)::DOUBLE AS mass, 0.125 * count(*) FILTER (WHERE r1 IS NULL) AS cap FROM one GROUP BY ALL),
 dec AS (SELECT one.*, coalesce(r1, CASE WHEN abs(ratio) > 0.06 THEN 'drift' END) AS reason,
   CASE WHEN r1 IS NULL AND mass > cap AND NOT abs(ratio) > 0.06 THEN cap / mass ELSE 1 END AS scale FROM one JOIN m USING (step, grp))
 """
@@ -100,7 +100,7 @@ def scalar_weighted_advantage(spark, sf):
     return decided(spark, sf).where("reason is null").select("step", "draw", F.round(F.col("w") * F.col("scale") * 2, 9).alias("advantage"))
 
 
-@query("SELECT vec_id, round(list_avg(list_transform(embedding, x -> x::DOUBLE * 0.5)), 9) + 0.0 AS ratio FROM embeddings")
+@query("SELECT vec_id, round(list_avg([x::DOUBLE * 0.5 FOR x IN embedding]), 9) + 0.0 AS ratio FROM embeddings")
 def agg_log_ratio_mean(spark, sf):
     """Mean of current minus behaviour log-probabilities of a sequence."""
     diff = F.zip_with(F.transform("embedding", lambda x: x.cast("double")), F.transform("embedding", lambda x: x.cast("double") * 0.5), lambda a, b: a - b)
@@ -108,7 +108,7 @@ def agg_log_ratio_mean(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", (F.round(total / F.greatest(F.size("embedding"), F.lit(1)), 9) + 0.0).alias("ratio"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, x -> x::DOUBLE * 0.5)), 8) + 0.0 AS ratio FROM embeddings")
+@query("SELECT vec_id, round(list_sum([x::DOUBLE * 0.5 FOR x IN embedding]), 8) + 0.0 AS ratio FROM embeddings")
 def agg_log_ratio_sum(spark, sf):
     diff = F.zip_with(F.transform("embedding", lambda x: x.cast("double")), F.transform("embedding", lambda x: x.cast("double") * 0.5), lambda a, b: a - b)
     return table(spark, sf, "embeddings").select("vec_id", (F.round(F.aggregate(diff, F.lit(0.0), lambda a, x: a + x), 8) + 0.0).alias("ratio"))

@@ -75,10 +75,10 @@ def win_running_z(spark, sf):
 
 
 @query(RUNS + """, r AS (SELECT *, avg(reward) OVER (PARTITION BY arm, seed ORDER BY step ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS roll FROM run)
-SELECT arm, step, round(avg(roll), 4) AS curve, count(*) AS seeds FROM r GROUP BY ALL""")
+SELECT arm, step, round(avg(roll), 6) AS curve, count(*) AS seeds FROM r GROUP BY ALL""")
 def win_seed_mean_curve(spark, sf):
     r = runs(spark, sf).withColumn("roll", E.rolling(F.col("reward"), KEYS, "step", 10))
-    return r.groupBy("arm", "step").agg(F.round(F.avg("roll"), 4).alias("curve"), F.count(F.lit(1)).alias("seeds"))
+    return r.groupBy("arm", "step").agg(F.round(F.avg("roll"), 6).alias("curve"), F.count(F.lit(1)).alias("seeds"))
 
 
 @query(RUNS + """, s AS (SELECT arm, seed, round(sum(reward::DECIMAL(18,3))::DOUBLE / count(*), 6) AS m FROM run GROUP BY ALL)

@@ -61,10 +61,10 @@ def array_goal_concat(spark, sf):
 
 
 @query("""WITH w AS (SELECT event_id, user_id, count(*) OVER w AS n, avg(value) OVER w AS m, var_samp(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT event_id, n, round(m, 6) AS mean, round(CASE WHEN n > 1 THEN v + 1.0 / (n - 1) ELSE 1 END, 4) AS var FROM w""")
+SELECT event_id, n, round(m, 6) AS mean, round(CASE WHEN n > 1 THEN v + 1.0 / (n - 1) ELSE 1 END, 7) AS var FROM w""")
 def running_normalizer(spark, sf):
     m = T.running_moments(table(spark, sf, "events"), ["user_id"], "event_id", F.col("value"))
-    return m.select("event_id", "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
+    return m.select("event_id", "n", F.round("mean", 6).alias("mean"), F.round("var", 7).alias("var"))
 
 
 @query("""WITH p AS (SELECT event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS v FROM events GROUP BY 1), s AS (SELECT sum(n) AS tn, sum(v) AS tv FROM p)
@@ -90,8 +90,8 @@ def cdf_mismatch(spark, sf):
     return c.agg(F.round(F.sum(F.abs(d("f", "tf") - d("g", "tg"))), 6).alias("mass"))
 
 
-@query("""WITH r AS (SELECT range AS i FROM range(1, 11))
-SELECT i AS steps, round(list_reduce(list_prepend(0.4::DOUBLE, list_transform(range(1, i + 1), x -> x::DOUBLE)), (b, x) -> least(1.0, b + (1.0 - b) * x / 100)), 9) AS beta FROM r""")
+@query("""WITH RECURSIVE r(steps, b) AS (SELECT 0, 0.4::DOUBLE UNION ALL SELECT steps + 1, least(1.0::DOUBLE, b + (1.0::DOUBLE - b) * (steps + 1) / 100) FROM r WHERE steps < 10)
+SELECT steps::BIGINT AS steps, round(b, 9) AS beta FROM r WHERE steps > 0""")
 def beta_anneal(spark, sf):
     return spark.range(1, 11).select(F.col("id").alias("steps"), F.round(T.annealed_beta(0.4, 1.0, 100, F.col("id")), 9).alias("beta"))
 
