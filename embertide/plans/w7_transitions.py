@@ -61,10 +61,10 @@ def array_goal_concat(spark, sf):
 
 
 @query("""WITH w AS (SELECT event_id, user_id, count(*) OVER w AS n, avg(value) OVER w AS m, var_samp(value) OVER w AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT event_id, n, round(m, 6) AS mean, round(CASE WHEN n > 1 THEN v + 1.0 / (n - 1) ELSE 1 END, 7) AS var FROM w""")
+SELECT event_id, n, round(m, 8) AS mean, round(CASE WHEN n > 1 THEN v + 1.0 / (n - 1) ELSE 1 END, 7) AS var FROM w""")
 def running_normalizer(spark, sf):
     m = T.running_moments(table(spark, sf, "events"), ["user_id"], "event_id", F.col("value"))
-    return m.select("event_id", "n", F.round("mean", 6).alias("mean"), F.round("var", 7).alias("var"))
+    return m.select("event_id", "n", F.round("mean", 8).alias("mean"), F.round("var", 7).alias("var"))
 
 
 @query("""WITH p AS (SELECT event_type, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS v FROM events GROUP BY 1), s AS (SELECT sum(n) AS tn, sum(v) AS tv FROM p)
