@@ -84,10 +84,10 @@ def quarantine_select(spark, sf):
     return S.quarantine(state(spark, sf), (F.col("source") == "error") & (F.col("reward") > 0.5)).select("slot", "source")
 
 
-@query(STATE + "SELECT slot, q, version, leaf FROM state WHERE slot % 97 = 5")
+@query(STATE + "SELECT slot, prompt_id, source, q, version, leaf FROM state WHERE leaf > 0")
 def state_lookup(spark, sf):
-    """Entries at given positions: the ids that are 5 modulo 97."""
-    return state(spark, sf).where("slot % 97 = 5").select("slot", "q", "version", F.col("leaf").cast("long").alias("leaf"))
+    """All live positions that can be drawn, with what they hold."""
+    return state(spark, sf).where("leaf > 0").select("slot", "prompt_id", "source", "q", "version", F.col("leaf").cast("long").alias("leaf"))
 
 
 @query("""WITH r AS (SELECT event_id % 1024 AS slot, max(event_id) AS event_id FROM events GROUP BY 1)
