@@ -6,6 +6,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ SHINGLE, PERCENT = 5, 75
 #: At a similarity of 0.75 a pair differs in 32 or more of 64 symbols once in 50,000; at 0.8 once in 10^8.
 SYMBOLS, CHUNKS, ERRORS = 64, 16, 1
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Rounds in which buckets link to a centre; members of a bucket that a task compares at a time.
+STAR_ROUNDS, BLOCK_MEMBERS = 3, 2000
 _A = (mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = mix64(np.arange(1001, 1001 + SYMBOLS, dtype=np.uint64)).astype(np.uint32)
 
@@ -91,14 +94,27 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _close(batches):
-    """Pairs whose signatures differ in at most MAX_DISTANCE symbols."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-        near = (one != two).sum(1) <= MAX_DISTANCE
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(near))
+def _close_pairs(batches):
+    """(a, b) of different components within MAX_DISTANCE, among the members (rows: one, two, id, n, component, sig) of two blocks of a bucket."""
+    rows = pa.Table.from_batches(list(batches))
+    if not rows.num_rows:
+        return rows.select(["id", "n"]).rename_columns(["a", "b"])
+    rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[("n", "ascending"), ("id", "ascending")]))
+    ids, n, part = (rows.column(c).to_numpy() for c in ("id", "n", "component"))
+    left, right, own = (rows.column(c).to_numpy() for c in ("one", "two", "block"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    a, b = [], []
+    end = np.searchsorted(n * PERCENT, n * 100, side="right")  # sizes beyond can't be alike
+    for i in range(len(ids)):
+        j = np.arange(i + 1, end[i])
+        j = j[part[j] != part[i]]
+        if left[i] != right[i]:
+            j = j[own[j] != own[i]]
+        if len(j):
+            near = j[(sig[j] != sig[i]).sum(1) <= MAX_DISTANCE]
+            a += [ids[i]] * len(near)
+            b += ids[near].tolist()
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -149,10 +165,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     Documents are linked when their shingle sets have a Jaccard similarity of PERCENT or more; component_id is the smallest doc_id
     reachable. Equal sets collapse to the class of their smallest doc_id first. Classes that agree
     on a chunk of the signature but for ERRORS symbols share a bucket, so every pair up to MAX_DISTANCE meets.
-    Links join components in two rounds of stars (each class with the centre it
-    shares most buckets with: the least id, then the least hash of a bucket); after that only pairs of different
-    components are left, and all of those are tested, first by signature distance, then on the full sets.
-    A dense group so costs its size in tests, not its square.
+    Links join components in rounds of stars first: each class is tested with the centre it
+    shares most buckets with, a centre being the member that meets most others (in the last round the least id).
+    Members of a bucket that are then of different components are compared by signature in blocks of BLOCK_MEMBERS,
+    and the pairs within MAX_DISTANCE, and only those, go on to the test on full sets.
+    A dense group so costs its size in tests of texts, not its square.
 
     Null or empty texts have no shingles and stand alone; texts of fewer words than a shingle
     have their whole sequence as one. Rows without doc_id are in no link and kept;
@@ -174,25 +191,29 @@ def near_components(docs: DataFrame) -> DataFrame:
     texts = materialize(texts.join(wanted, "id", "left_semi"), "texts")
 
     links, found = None, None
-    for turn in (0, 1):
-        rank = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), F.col("id"))
-        open_ = buckets.withColumn("component", F.col("id")) if found is None else _unresolved(buckets, found)
+    for turn in range(STAR_ROUNDS):
+        open_ = _unresolved(buckets, found)
+        sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        met = open_.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("degree"))
+        open_ = open_.join(met, "id")
+        rank = -F.col("degree") if turn < STAR_ROUNDS - 1 else F.col("id")
         centre = open_.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "n", "component")).alias("c"))
         pairs = open_.join(centre, "key").where((F.col("c.component") != F.col("component")) & _alike(F.col("n"), F.col("c.n")))
         pairs = pairs.groupBy(F.col("c.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
         best = Window.partitionBy("b").orderBy(F.desc("hits"), "a")
         pairs = pairs.withColumn("nth", F.row_number().over(best)).where("nth = 1")
         new = confirm(pairs, texts)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            found = components(links)
-    left = _unresolved(buckets, found)
-    other = left.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    pairs = left.join(other, "key").where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("c2")) & _alike(F.col("n"), F.col("n2")))
-    pairs = materialize(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), "pairs")
-    sigs = classes.select("id", "sig")
-    pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    new = confirm(pairs.select("a", "b", "sa", "sb").mapInArrow(_close, "a long, b long"), texts)
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        found = components(links)
+    left = _unresolved(buckets, found).join(classes.select("id", "sig"), "id")
+    wide = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    left = left.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "n", "component", "sig")
+    pairs = left.groupBy("key", "one", "two").applyInArrow(lambda t: _close_pairs(t.to_batches()), "a long, b long")
+    new = confirm(pairs.distinct(), texts)
     if not new.isEmpty():
         links = new if links is None else links.unionByName(new)
         found = components(links)
