@@ -15,9 +15,9 @@ from embertide.llm.common import mix64, rolling, text_or_empty, word_hashes
 #: document cut every BLOCK words, as WINDOW >= 2 * BLOCK - 1.
 WINDOW, BLOCK = 20, 10
 #: Bytes of text in a shard and windows in a hash bucket, about: what one task holds.
-SHARD_BYTES, BUCKET_WINDOWS = 8_000_000, 2_000_000
+SHARD_BYTES, BUCKET_WINDOWS = 2_500_000, 1_000_000
 #: Bytes that are hashed at a time, so that a long text costs bounded memory.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 250_000
 _SPACES = (32, 9, 10, 11, 12, 13)
 
 
