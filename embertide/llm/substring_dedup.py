@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,18 @@ def _hash_words(data: bytes) -> np.ndarray:
     return np.concatenate(out)
 
 
+class Windows(NamedTuple):
+    """Arrays over windows; lead: the first window of each group, group: the group of each window."""
+
+    hashes: np.ndarray
+    places: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    buckets: np.ndarray
+    lead: np.ndarray
+    group: np.ndarray
+
+
 class _Shard:
     """Word hashes of the documents of a shard, in order of doc_id, then input."""
 
@@ -68,7 +81,10 @@ class _Shard:
         return distinct, inverse, count > 1, indexed
 
     def candidates(self, hit: np.ndarray, sizes: np.ndarray):
-        """(hash of window, document place, start) of windows that hold a block hit, in a fixed order."""
+        """Windows that hold a block hit, by (bucket, hash, doc_id, start): hash, place, doc_id, start, bucket, and their group.
+
+        A group is the windows of one hash; the first of it is where the shard has it earliest.
+        """
         hashes, docs, starts, at = [], [], [], 0
         for d, n in enumerate(sizes):
             if not n:
@@ -84,9 +100,12 @@ class _Shard:
                 docs.append(np.full(len(s), d))
                 starts.append(s)
         h, d, s = _cat(hashes, np.uint64), _cat(docs, np.int64), _cat(starts, np.int64)
-        bucket = mix64(h) % self.buckets
-        order = np.lexsort((s, d, bucket))
-        return h[order], d[order], s[order], bucket[order]
+        bucket, ids = mix64(h) % self.buckets, self.order[d]
+        order = np.lexsort((s, ids, h, bucket))
+        h, bucket = h[order], bucket[order]
+        first = np.ones(len(h), bool)
+        first[1:] = h[1:] != h[:-1]
+        return Windows(h, d[order], ids[order], s[order], bucket, np.flatnonzero(first), np.cumsum(first) - 1)
 
 
 def _cat(parts: list[np.ndarray], kind) -> np.ndarray:
@@ -151,34 +170,32 @@ def _hits(shard: _Shard, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]
 
 def _offer_windows(buckets: int):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["shard", "bucket", "hashes", "ids", "lens", "starts"]
+        columns = ["shard", "bucket", "hashes", "ids", "starts"]
         if not len(docs):
             return pd.DataFrame([], columns=columns)
         shard = _Shard(docs, buckets)
-        h, d, s, bucket = shard.candidates(*_hits(shard, answers))
-        rows = []
-        for k, a, b in _pieces(bucket):
-            runs = list(_pieces(d[a:b]))
-            ids = np.array([shard.order[x] for x, _, _ in runs], np.int64)
-            lens = np.array([y - x for _, x, y in runs], np.int32)
-            rows.append((int(docs["shard"].iloc[0]), k, h[a:b].tobytes(), ids.tobytes(), lens.tobytes(), s[a:b].astype(np.int32).tobytes()))
+        w = shard.candidates(*_hits(shard, answers))
+        h, ids, s = w.hashes[w.lead], w.ids[w.lead], w.starts[w.lead].astype(np.int32)
+        name = int(docs["shard"].iloc[0])
+        rows = [(name, k, h[a:b].tobytes(), ids[a:b].tobytes(), s[a:b].tobytes()) for k, a, b in _pieces(w.buckets[w.lead])]
         return pd.DataFrame(rows, columns=columns)
 
     return run
 
 
 def _match_windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each shard's windows of a bucket: whether the same words start earlier."""
+    """For each shard's distinct windows of a bucket: whether the first place of the words is in that shard."""
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
-    d = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(n, np.int32)) for i, n in zip(pdf["ids"], pdf["lens"], strict=True)])
+    d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
     s = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["starts"]])
     order = np.lexsort((s, d, h))
-    first = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    later = np.zeros(len(h), bool)
-    later[order] = (d[order] != d[order][lead]) | (s[order] != s[order][lead])
+    first = np.ones(len(h), bool)
+    first[1:] = h[order][1:] != h[order][:-1]
+    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    earliest = np.zeros(len(h), bool)
+    earliest[order] = (d[order] == d[lead]) & (s[order] == s[lead])
     cuts = np.cumsum([0, *(len(x) // 8 for x in pdf["hashes"])])
-    rows = [(x, 1, k, _bits(later[a:b])) for x, k, a, b in zip(pdf["shard"], pdf["bucket"], cuts[:-1], cuts[1:], strict=True)]
+    rows = [(x, 1, k, _bits(earliest[a:b])) for x, k, a, b in zip(pdf["shard"], pdf["bucket"], cuts[:-1], cuts[1:], strict=True)]
     return pd.DataFrame(rows, columns=["shard", "kind", "bucket", "bits"])
 
 
@@ -188,13 +205,16 @@ def _cut(buckets: int):
         if not len(docs):
             return pd.DataFrame([], columns=columns)
         shard = _Shard(docs, buckets)
-        _, d, s, bucket = shard.candidates(*_hits(shard, answers[answers["kind"] == 0]))
+        w = shard.candidates(*_hits(shard, answers[answers["kind"] == 0]))
         late = answers[answers["kind"] == 1]
         bits = {int(k): b for k, b in zip(late["bucket"], late["bits"], strict=True)}
-        later = np.zeros(len(d), bool)
-        for k, a, b in _pieces(bucket):
-            later[a:b] = _unbits(bits[k], b - a)
-        d, s = d[later], s[later]
+        owned = np.zeros(len(w.lead), bool)
+        for k, a, b in _pieces(w.buckets[w.lead]):
+            owned[a:b] = _unbits(bits[k], b - a)
+        lead = w.lead[w.group]
+        here = (w.ids == w.ids[lead]) & (w.starts == w.starts[lead])
+        later = ~(owned[w.group] & here)
+        d, s = w.places[later], w.starts[later]
         order = np.argsort(d, kind="stable")
         starts = {k: s[order][a:b] for k, a, b in _pieces(d[order])}
         rows = []
@@ -228,7 +248,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     offers the hashes of its reference blocks (every BLOCK words) and of all rolling windows of BLOCK words;
     buckets of hashes answer with one bit each, whether the value is a reference block that
     occurs again. Around hits, blocks extend to windows of WINDOW words, whose 64-bit hashes
-    are compared the same way; neighbouring repeats join to maximal spans. Two
+    are compared by the earliest place each shard has; neighbouring repeats join to maximal spans. Two
     windows count as equal when their 64-bit hashes are. No pair of copies is ever formed: a value counts once for a
     shard, so a passage that all documents share costs what a rare one does.
 
@@ -250,7 +270,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     answer = "shard int, kind int, bucket int, bits binary"
     hits = offered.groupBy("bucket").applyInPandas(_match_blocks, answer)
     windows = by_shard(dealt).cogroup(by_shard(hits)).applyInPandas(
-        _offer_windows(buckets), "shard int, bucket int, hashes binary, ids binary, lens binary, starts binary"
+        _offer_windows(buckets), "shard int, bucket int, hashes binary, ids binary, starts binary"
     )
     late = windows.groupBy("bucket").applyInPandas(_match_windows, answer)
     return by_shard(dealt).cogroup(by_shard(hits.unionByName(late))).applyInPandas(
