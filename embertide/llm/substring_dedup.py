@@ -216,7 +216,8 @@ def _cut(buckets: int):
         later = ~(owned[w.group] & here)
         d, s = w.places[later], w.starts[later]
         order = np.argsort(d, kind="stable")
-        starts = {k: s[order][a:b] for k, a, b in _pieces(d[order])}
+        d, s = d[order], s[order]
+        starts = {k: s[a:b] for k, a, b in _pieces(d)}
         rows = []
         for i, (doc_id, data) in enumerate(zip(shard.order, shard.data, strict=True)):
             words, spans, n_removed = data.split(), [], 0
