@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -92,8 +93,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "warrant", "rights reserved", "creative commons", "cc by", "cc0", "public license")
 #: Lines without a cue that may stand inside a block.
 GAP_LINES = 2
-#: Ranked wordings that are compared word by word; the size saved that ranks a wording at all.
-CONFIRMED, LEAST_GAIN = 4, 0.15
 #: Share of a wording's words that may be missing.
 MISSING = 0.1
 _WORD = re.compile(r"[^\W_]+")
@@ -151,8 +150,9 @@ def wording_difference(block: list[str], template: list[str]) -> tuple[int, int,
 def scan_block(block: str) -> list[tuple[str, float, int, int]]:
     """Confirmed licences of a block: (licence, size reduction, words missing, words inserted), best first.
 
-    The block is compressed alone and with each wording as raw dictionary; wordings rank by
-    the share of bytes that saves. The best CONFIRMED of different wordings are aligned word by word;
+    The block is compressed alone and with each wording as raw dictionary; the share of bytes that saves
+    orders the wordings and drops none. Every wording is aligned word by word, but for those that can't be confirmed
+    because a telling word or too many words are nowhere in the block;
     a licence is confirmed with few enough words missing and inserted and
     all telling words (numbers, NC, SA and the like) in place. What one licence has matched counts for no other.
     """
@@ -162,10 +162,10 @@ def scan_block(block: str) -> list[tuple[str, float, int, int]]:
         ((1 - len(packer.compress(data)) / plain, name, words) for name, _, words, packer in _wordings()), key=lambda x: (-x[0], x[1], len(x[2]))
     )
     have, out = words_of(block), []
-    present = set(have)
-    fit = [r for r in ranked if r[0] >= LEAST_GAIN or len(have) > 4 * len(r[2])]
-    fit = [r for r in fit if _telling(r[2]) <= present]
-    for gain, name, words in fit[: CONFIRMED + len(TEMPLATES)]:
+    held = Counter(have)
+    for gain, name, words in ranked:
+        if not _telling(words) <= held.keys() or (Counter(words) - held).total() > MISSING * len(words):
+            continue
         missing, inserted, told = wording_difference(have, words)
         if told and missing <= MISSING * len(words) and inserted <= max(1, MISSING * len(words)):
             out.append((name, round(gain, 4), missing, inserted, words))

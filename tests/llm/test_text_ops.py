@@ -144,6 +144,18 @@ def test_licenses(spark):
     assert got == {0: ["CC-BY-NC-4.0"], 1: ["MIT"], 2: ["MIT"], 3: ["BSD-3-Clause"], 4: ["BSD-2-Clause"], 5: ["GPL-3.0"], 6: [], 7: [], 8: [], 9: ["Apache-2.0"], 10: []}
 
 
+def test_every_license_of_a_long_notice_is_found():
+    t = license_scan.TEMPLATES
+    for pick in (0, -1):
+        notice = "\n".join(f"component {i}: {own[pick]}" for i, own in enumerate(t.values()))
+        # the text of BSD-2-Clause is a part of that of BSD-3-Clause
+        assert {f[0] for f in license_scan.scan_block(notice)} >= set(t) - ({"BSD-2-Clause"} if pick else set())
+    for name, own in t.items():
+        for text in own:
+            around = "this copyright line tells of the many authors who wrote parts of it over years and years"
+            assert name in {f[0] for f in license_scan.scan_block(f"{around}\n{text}\n{around[::-1]} license")}, text
+
+
 # --- chat -----------------------------------------------------------------------
 def test_chat_round_trip(spark):
     r = random.Random(6)
