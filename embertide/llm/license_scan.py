@@ -87,7 +87,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     "CC0-1.0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "Proprietary": ("All rights reserved. No part of this work may be reproduced without written permission.",),
+    "Proprietary": ("All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission.",),
 }
 #: Lower-case cues that make a line part of a candidate block.
 CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "warrant", "rights reserved", "creative commons", "cc by", "cc0", "public license")
@@ -95,6 +95,8 @@ CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "w
 GAP_LINES = 2
 #: Share of a wording's words that may be missing.
 MISSING = 0.1
+#: First words of a long grant. A reservation right before them is the heading of that licence.
+OPENING = 10
 _WORD = re.compile(r"[^\W_]+")
 #: Words that tell licences of one wording apart: they must agree exactly.
 _TELLING = frozenset("nc nd sa noncommercial noderivatives sharealike lesser affero library only mit apache bsd isc mozilla cc0 clause v1 v2 v3".split())
@@ -147,6 +149,26 @@ def wording_difference(block: list[str], template: list[str]) -> tuple[int, int,
     return len(template) - same, last - first - same, _telling(template) == _telling(block[first:last])
 
 
+@lru_cache(maxsize=1)
+def _headings() -> tuple[list[str], list[list[str]]]:
+    """The words of the bare reservation, and the openings of all grants of two openings or more."""
+    reserved, own = words_of(TEMPLATES["Proprietary"][0]), TEMPLATES["Proprietary"]
+    return reserved, [w[:OPENING] for _, text, w, _ in _wordings() if len(w) >= 2 * OPENING and text not in own]
+
+
+def _without_headings(block: list[str]) -> list[str]:
+    """The block without reservations that head a grant ("All rights reserved. Redistribution and use ...")."""
+    reserved, openings = _headings()
+    out, i, n = [], 0, len(reserved)
+    while i < len(block):
+        if block[i : i + n] == reserved and block[i + n : i + n + OPENING] in openings:
+            i += n
+        else:
+            out.append(block[i])
+            i += 1
+    return out
+
+
 def scan_block(block: str) -> list[tuple[str, float, int, int]]:
     """Confirmed licences of a block: (licence, size reduction, words missing, words inserted), best first.
 
@@ -154,7 +176,8 @@ def scan_block(block: str) -> list[tuple[str, float, int, int]]:
     orders the wordings and drops none. Every wording is aligned word by word, but for those that can't be confirmed
     because a telling word or too many words are nowhere in the block;
     a licence is confirmed with few enough words missing and inserted and
-    all telling words (numbers, NC, SA and the like) in place. What one licence has matched counts for no other.
+    all telling words (numbers, NC, SA and the like) in place. "All rights reserved." is Proprietary, unless
+    a longer grant follows at once, whose heading it is. What one licence has matched counts for no other.
     """
     data = block.encode("utf-8", "surrogatepass")
     plain = len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(data))
@@ -162,11 +185,11 @@ def scan_block(block: str) -> list[tuple[str, float, int, int]]:
         ((1 - len(packer.compress(data)) / plain, name, words) for name, _, words, packer in _wordings()), key=lambda x: (-x[0], x[1], len(x[2]))
     )
     have, out = words_of(block), []
-    held = Counter(have)
+    held, reserved, bare = Counter(have), _headings()[0], _without_headings(have)
     for gain, name, words in ranked:
         if not _telling(words) <= held.keys() or (Counter(words) - held).total() > MISSING * len(words):
             continue
-        missing, inserted, told = wording_difference(have, words)
+        missing, inserted, told = wording_difference(bare if words == reserved else have, words)
         if told and missing <= MISSING * len(words) and inserted <= max(1, MISSING * len(words)):
             out.append((name, round(gain, 4), missing, inserted, words))
     best: dict[str, tuple] = {}

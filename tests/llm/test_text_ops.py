@@ -156,6 +156,15 @@ def test_every_license_of_a_long_notice_is_found():
             assert name in {f[0] for f in license_scan.scan_block(f"{around}\n{text}\n{around[::-1]} license")}, text
 
 
+def test_plain_reservation_is_proprietary():
+    found = lambda text: {f[0] for f in license_scan.scan_block(text)}
+    assert found("All rights reserved.") == found("Copyright 2020 X. ALL RIGHTS RESERVED") == {"Proprietary"}
+    assert found("a: All rights reserved.\nb: Released under the MIT License.") == {"Proprietary", "MIT"}
+    headed = "Copyright X. All rights reserved.\n\n" + license_scan.TEMPLATES["BSD-3-Clause"][2]
+    assert found(headed) == {"BSD-3-Clause"} and found(f"{headed}\nY: All rights reserved.") == {"BSD-3-Clause", "Proprietary"}
+    assert found("not all the rights that were reserved") == set()
+
+
 # --- chat -----------------------------------------------------------------------
 def test_chat_round_trip(spark):
     r = random.Random(6)
