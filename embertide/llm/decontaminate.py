@@ -9,7 +9,7 @@ from embertide.llm.common import materialize, spread, stay, text_or_empty
 
 #: Words in a template window.
 WINDOW = 8
-#: Words of a window that must not be placeholders.
+#: A window with fewer words that are no placeholders (a shorter item: with any placeholder) meets only its exact values.
 PLAIN_WORDS = 4
 #: A document is contaminated by an item when it holds this share of the item's windows, or so many.
 SHARE, MANY = 0.5, 6
@@ -42,20 +42,34 @@ def canonical_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(marked), r"[^\p{L}\p{N}\x01-\x03]+"), "")
 
 
+#: Low bits of a hash that count plain words.
+_COUNT = 4
+
+
 def _shapes(words: str) -> Column:
-    """Hash of each word's template: a placeholder hashes as its type alone."""
-    return F.expr(f"transform({words}, w -> if(w < '\x04', xxhash64(substring(w, 1, 1)), xxhash64(w)))")
+    """Hash of each word's template, its low bits 1 for a plain word and 0 for a placeholder, which hashes as its type alone."""
+    low = (1 << _COUNT) - 1
+    return F.expr(f"transform({words}, w -> if(w < '\x04', xxhash64(substring(w, 1, 1)) & ~{low}L, xxhash64(w) & ~{low}L | 1L))")
+
 
+def _windows(shapes: str, words: str, n: int) -> str:
+    """SQL for the hashes of windows of n words by start: of their template, or of the words with their values if few are plain.
 
-def _windows(shapes: str, n: int) -> str:
-    """SQL for the hashes of windows of n template words by start. Windows of WINDOW words double up from pairs."""
+    Equal templates have equally many plain words, so both sides choose alike. Windows of WINDOW words double up from pairs,
+    and their low bits add up.
+    """
+    low = (1 << _COUNT) - 1
     if n != WINDOW:
-        return f"if(size({shapes}) < {n}, array(), transform(sequence(0, size({shapes}) - {n}), i -> xxhash64({n}, slice({shapes}, i + 1, {n}))))"
+        plain = f"size(filter(slice({shapes}, i + 1, {n}), s -> (s & 1L) = 1L)) >= {min(PLAIN_WORDS, n)}"
+        own = f"if({plain}, xxhash64({n}, slice({shapes}, i + 1, {n})), xxhash64({n}, 'values', slice({words}, i + 1, {n})))"
+        return f"if(size({shapes}) < {n}, array(), transform(sequence(0, size({shapes}) - {n}), i -> {own}))"
     out, k = shapes, 1
     while k < WINDOW:
-        out = f"element_at(transform(array({out}), v{k} -> zip_with(v{k}, slice(v{k}, {k + 1}, size(v{k})), (a, b) -> xxhash64(a, b))), 1)"
+        both = f"xxhash64(a, b) & ~{low}L | ((a & {low}L) + (b & {low}L))"
+        out = f"element_at(transform(array({out}), v{k} -> zip_with(v{k}, slice(v{k}, {k + 1}, size(v{k})), (a, b) -> {both})), 1)"
         k *= 2
-    return f"slice({out}, 1, greatest(size({shapes}) - {n - 1}, 0))"
+    out = f"slice({out}, 1, greatest(size({shapes}) - {n - 1}, 0))"
+    return f"transform({out}, (h, i) -> if((h & {low}L) < {PLAIN_WORDS}, xxhash64('values', slice({words}, i + 1, {n})), h))"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -65,7 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hash, an item of fewer words by its whole template. Matches of one document and item on one diagonal are
     an alignment; there the values behind placeholders must follow one mapping of the item's
     values, else the alignment doesn't count. Exact copies map each value to itself.
-    Windows of an item with fewer than PLAIN_WORDS plain words don't count (items of fewer words: all must be plain).
+    A window with fewer than PLAIN_WORDS plain words (items of fewer words: with a placeholder) meets by its
+    words and values, so only an exact copy of it counts. An item leaks by its share of all windows or,
+    as values may be new, by its share of those that meet by template.
 
     Null or empty texts have no windows and meet nothing; rows without doc_id or item_id are
     ignored; repeated rows of one doc_id count once. Extra columns are ignored. An
@@ -81,23 +97,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = None
     for n in sizes:
         part = listed.where(F.col("own") == n).select(
-            "item_id", "own", "iw", F.posexplode_outer(F.expr(_windows("shapes", n))).alias("ipos", "h")
+            "item_id", "own", "iw", F.posexplode_outer(F.expr(_windows("shapes", "iw", n))).alias("ipos", "h")
         )
         index = part if index is None else index.unionByName(part)
     plain = F.size(F.filter(F.slice("iw", F.col("ipos") + 1, F.col("own")), lambda w: w >= "\x04"))
-    index = index.where((plain >= F.least(F.lit(PLAIN_WORDS), F.col("own"))) & F.col("h").isNotNull())
-    index = materialize(index.select("item_id", "ipos", "h", "own"), "item_windows")
+    index = index.withColumn("exact", plain < F.least(F.lit(PLAIN_WORDS), F.col("own"))).where("h is not null")
+    index = materialize(index.select("item_id", "ipos", "h", "own", "exact"), "item_windows")
     few = index.count() <= BROADCAST_WINDOWS
 
     named = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
-    shaped = spread(named).select("doc_id", canonical_words(F.col("text")).alias("dw")).select("doc_id", _shapes("dw").alias("shapes"))
+    shaped = spread(named).select("doc_id", canonical_words(F.col("text")).alias("dw")).select("doc_id", "dw", _shapes("dw").alias("shapes"))
     probes = None
     for n in sizes:
         # the outer form spares a filter that would compute every window twice
-        part = shaped.select("doc_id", F.posexplode_outer(F.expr(_windows("shapes", n))).alias("pos", "h"))
+        part = shaped.select("doc_id", F.posexplode_outer(F.expr(_windows("shapes", "dw", n))).alias("pos", "h"))
         probes = part if probes is None else probes.unionByName(part)
     hits = probes.join(F.broadcast(index) if few else index, "h")
-    lined = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), "own").agg(
+    lined = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), "own", "exact").agg(
         F.array_sort(F.collect_set("ipos")).alias("at")
     )
     lined = materialize(lined, "alignments")
@@ -110,14 +126,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     met = met.withColumn("spots", spots).withColumn("pairs", pairs)
     fits = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.col("pairs.b")))
-    per = met.where(fits).groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("windows")
+    at = lambda kind: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(kind, F.col("at")))))).cast("long")
+    # exact windows and templates are alignments of their own: copied values don't refute new ones elsewhere
+    per = met.where(fits).groupBy("doc_id", "item_id").agg(at(F.lit(True)).alias("windows"), at(~F.col("exact")).alias("templates"))
+    of = index.groupBy("item_id").agg(
+        F.countDistinct("ipos").alias("n_item_windows"), F.count_if(~F.col("exact")).alias("n_templates")
     )
-    of = index.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_item_windows"))
     per = per.join(of, "item_id")
-    return per.where((F.col("windows") >= SHARE * F.col("n_item_windows")) | (F.col("windows") >= MANY)).select(
-        "doc_id", "item_id", "windows", "n_item_windows"
-    )
+    leaks = (F.col("windows") >= SHARE * F.col("n_item_windows")) | (F.col("windows") >= MANY)
+    leaks = leaks | (F.col("templates") > 0) & (F.col("templates") >= SHARE * F.col("n_templates"))
+    return per.where(leaks).select("doc_id", "item_id", "windows", "n_item_windows")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -201,6 +201,18 @@ def test_decontamination_catches_copies_and_new_parameters(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).collect() == []
 
 
+def test_decontamination_catches_items_of_numbers(spark):
+    items = ["What is 347 + 589 - 122 * 4 + 16 / 8 - 77 + 5?", "Compute 12 * 35 + 48 / 6 - 9 * 3 + 41 - 8", "Add 3 and 4 to 5", "Compute 13 * 36",
+             "Every farmer in this village sells some apples on market days: 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"Some words stand before it. {t} And some more words stand after it." for t in items]
+    texts += ["What is 348 + 589 - 122 * 4 + 17 / 8 - 78 + 5?", "Add 3 and 9 to 5", "what is 1 2 3 4 5 6 7 8 9", items[4][:63] + " 103 104 105 106 107 108 109"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.windows, x.n_item_windows) for x in decontaminate.contaminated(docs, bench).collect()}
+    assert set(got) == {(i, i) for i in range(5)} | {(8, 4)}
+    assert all(got[i, i][0] == got[i, i][1] for i in range(5)) and got[1, 1][0] > 0 and got[8, 4][0] < got[8, 4][1]
+
+
 # --- mixing -----------------------------------------------------------------------
 def test_pfair_keeps_within_one_block():
     parts = {"a": 37, "b": 3, "c": 60, "d": 11}
