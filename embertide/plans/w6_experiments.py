@@ -136,7 +136,7 @@ def bootstrap_ci(spark, sf):
     """Interval of toxicity label means by language, over seeds x items."""
     d = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
     d = d.select("lang", (F.col("doc_id") % 3).alias("seed"), F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("score"))
-    return E.bootstrap(d, ["lang"], "seed", "item", "score", resamples=500)
+    return E.bootstrap(d, ["lang"], "seed", "item", "score")
 
 
 @query(r"""WITH t AS (SELECT doc_id, CASE WHEN contains(text, '####') THEN string_split(text, '####')[-1] ELSE text END AS tail, contains(text, '####') AS marked FROM documents),

@@ -4,11 +4,13 @@ import json
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from embertide.functions import answers, decay, exact
 from embertide.operators import batches, eventlog, sampling, scan, state, transitions
+from embertide.plans import w6_experiments
 from embertide.sources import logs
 from embertide.streaming.buffer import Buffer
 
@@ -162,6 +164,20 @@ def test_answers(spark):
     assert answers.same_number("1/2", "0.5") and not answers.same_number("1", "2")
 
 
+def test_bootstrap_interval_is_that_of_2000_resamples(spark, tmp_path):
+    scores = [(i * 7919) % 11 / 2 for i in range(12)]
+    spark.createDataFrame([(i, "en") for i in range(12)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(scores)), "doc_id long, quality double").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = np.array(scores).reshape(4, 3).T
+    draw, means = np.random.Generator(np.random.PCG64(0)), []
+    for _ in range(2000):
+        seeds = draw.integers(0, 3, 3)
+        means.append(np.mean([rows[s, draw.integers(0, 4, 4)].mean() for s in seeds]))
+    means.sort()
+    (got,) = w6_experiments.bootstrap_ci(spark, str(tmp_path)).collect()
+    assert tuple(got)[1:] == pytest.approx((rows.mean(), means[49], means[1950]), abs=1e-12)
+
+
 def test_buffer_lifecycle():
     b = Buffer(decay.Decay(half_life=1, max_age=2, capacity=4))
     assert [x[:2] for x in b.add([1, 2, 3], 0, 0)] == [("insert", 0), ("insert", 1), ("insert", 2)]
