@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"
+_BRACE = re.compile(r"\\boxed\{|[{}]")
 
 
 def number_answer(text: Column) -> Column:
@@ -21,16 +23,17 @@ def number_answer(text: Column) -> Column:
 
 
 def boxed(text: str) -> str | None:
-    """Content of the last \\boxed{...} whose braces balance."""
-    at = text.rfind("\\boxed{")
-    while at >= 0:
-        depth, start = 1, at + len("\\boxed{")
-        for i in range(start, len(text)):
-            depth += (text[i] == "{") - (text[i] == "}")
-            if depth == 0:
-                return text[start:i]
-        at = text.rfind("\\boxed{", 0, at)
-    return None
+    """Content of the last \\boxed{...} whose braces balance, in one pass over the braces."""
+    if "\\boxed{" not in text:
+        return None
+    opened: list[int] = []
+    last = None
+    for m in _BRACE.finditer(text):
+        if m[0] != "}":
+            opened.append(m.end() if m[0] != "{" else -1)
+        elif opened and (start := opened.pop()) >= 0 and (last is None or start > last[0]):
+            last = start, m.start()
+    return None if last is None else text[slice(*last)]
 
 
 def same_number(a: str, b: str) -> bool:

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -164,6 +165,28 @@ def test_answers(spark):
     assert answers.same_number("1/2", "0.5") and not answers.same_number("1", "2")
 
 
+def test_boxed_reads_whole_texts(spark, tmp_path):
+    r = random.Random(8)
+    for _ in range(3000):
+        text = "".join(r.choices(["\\boxed{", "{", "}", "}", "a", "\\", "boxed", " "], k=r.randint(0, 14)))
+        want = None
+        for at in range(len(text)):  # the last one that balances
+            if text.startswith("\\boxed{", at):
+                depth = 0
+                for i in range(at + 6, len(text)):
+                    depth += (text[i] == "{") - (text[i] == "}")
+                    if depth == 0:
+                        want = text[at + 7 : i]
+                        break
+        assert answers.boxed(text) == want, text
+    began = time.process_time()
+    assert answers.boxed("\\boxed{x}" + "\\boxed{" * 8_000) == "x"
+    assert time.process_time() - began < 2
+    texts = ["one two three four " * 50 + "\\boxed{\\frac{1}{2}} and so on", "no box here at all", "\\boxed{a} b c d \\boxed{e f g h i}", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.boxed for x in w6_experiments.str_boxed(spark, str(tmp_path)).collect()} == {0: "\\frac{1}{2}", 1: None, 2: "e f g h i", 3: None}
+
+
 def test_bootstrap_interval_is_that_of_2000_resamples(spark, tmp_path):
     scores = [(i * 7919) % 11 / 2 for i in range(12)]
     spark.createDataFrame([(i, "en") for i in range(12)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
