@@ -44,9 +44,9 @@ def sort_expired(spark, sf):
 m AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS nth FROM (SELECT DISTINCT user_id FROM events))
 SELECT user_id, slot FROM m JOIN free USING (nth)""")
 def alloc_free_slots(spark, sf):
-    """Each user's new entry takes the lowest free slot in turn."""
-    users = table(spark, sf, "events").select("user_id").distinct()
-    return S.allocate(users, S.free_slots(20000, state(spark, sf)), "user_id").select("user_id", "slot")
+    """Each user's new entry takes the lowest free slot in turn; as many slots as entries and users always suffice."""
+    users, held = table(spark, sf, "events").select("user_id").distinct(), state(spark, sf)
+    return S.allocate(users, S.free_slots(held.count() + users.count(), held), "user_id").select("user_id", "slot")
 
 
 @query(STATE + """, c AS (SELECT user_id AS slot, max_by(event_type, event_id) AS op, max(event_id) AS seq FROM events GROUP BY 1),

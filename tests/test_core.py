@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from embertide.functions import answers, decay, exact
 from embertide.operators import batches, eventlog, sampling, scan, state, transitions
-from embertide.plans import w6_experiments
+from embertide.plans import w3_state, w6_experiments
 from embertide.sources import logs
 from embertide.streaming.buffer import Buffer
 
@@ -151,6 +151,17 @@ def test_merge_and_allocation(spark):
     assert sorted((r.m, r.slot) for r in state.allocate(members, state.free_slots(5, st), "o").collect()) == [("a", 1), ("b", 3)]
 
 
+def test_every_user_gets_a_slot(spark, tmp_path):
+    users = 21_000
+    events = spark.range(users).selectExpr("id as event_id", "id as user_id", "timestamp'2024-01-20 00:00:00' + make_interval(0, 0, 0, id % 10) as ts",
+                                           "'view' as event_type", "50.0D as value", "'{}' as props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = w3_state.alloc_free_slots(spark, str(tmp_path)).collect()
+    held = {r.slot for r in w3_state.state(spark, str(tmp_path)).collect()}
+    free = (s for s in range(2 * users) if s not in held)
+    assert held and {r.user_id: r.slot for r in got} == dict(zip(range(users), free))
+
+
 def test_first_difference(spark):
     a = spark.createDataFrame([(i, i, "x") for i in range(9)], "ord long, u long, s string")
     b = a.where("ord < 8").withColumn("s", F.when(F.col("ord") == 5, None).otherwise(F.col("s")))
