@@ -28,20 +28,21 @@ def nstep_returns(df: DataFrame, env: str, order: str, reward: Column, done: Col
 
 
 def hindsight(df: DataFrame, episode: str, order: str, goal: str, strategy: str, k: int = 1) -> DataFrame:
-    """Rows relabelled with goals that their episode reached: `final`, or `future` (k keyed choices from now on).
+    """Rows relabelled with goals that their episode reached: `final`, `future` (k keyed choices from now on) or `episode` (k of all).
 
-    A future index is t + hash mod (T - t), so that every engine can make it.
+    A future index is t + hash mod (T - t), one of the episode hash mod T, so that every engine can make it.
     """
     own = Window.partitionBy(episode)
     rows = df.withColumns({"t": F.row_number().over(own.orderBy(order)) - 1, "len": F.count(F.lit(1)).over(own)})
     reached = rows.select(episode, F.col("t").alias("at"), F.col(goal).alias("new_goal"))
     if strategy == "final":
         asked = rows.withColumn("at", F.col("len") - 1).withColumn("j", F.lit(0))
-    elif strategy == "future":
+    elif strategy in ("future", "episode"):
         asked = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        asked = asked.withColumn("at", F.col("t") + F.pmod((F.col(order) * 31 + F.col("j") * 17 + 7), F.col("len") - F.col("t")))
+        first = F.col("t") if strategy == "future" else F.lit(0)
+        asked = asked.withColumn("at", first + F.pmod((F.col(order) * 31 + F.col("j") * 17 + 7), F.col("len") - first))
     else:
-        raise ValueError("strategy must be final or future")
+        raise ValueError("strategy must be final, future or episode")
     return asked.withColumn("at", F.col("at").cast("long")).join(reached.withColumn("at", F.col("at").cast("long")), [episode, "at"])
 
 

@@ -51,6 +51,13 @@ def her_future(spark, sf):
     return T.hindsight(table(spark, sf, "embeddings"), "label", "vec_id", "vec_id", "future", 4).select("vec_id", F.col("j").cast("long").alias("j"), "new_goal")
 
 
+@query("""WITH t AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+k AS (SELECT *, unnest(range(4)) AS j FROM t)
+SELECT k.vec_id, k.j, b.vec_id AS new_goal FROM k JOIN t b ON k.label = b.label AND b.t = (k.vec_id * 31 + k.j * 17 + 7) % k.n""")
+def her_episode(spark, sf):
+    return T.hindsight(table(spark, sf, "embeddings"), "label", "vec_id", "vec_id", "episode", 4).select("vec_id", F.col("j").cast("long").alias("j"), "new_goal")
+
+
 @query("""WITH g AS (SELECT label, max_by(embedding, vec_id) AS goal FROM embeddings GROUP BY 1)
 SELECT vec_id, len(list_concat(embedding, goal)) AS width, round(list_concat(embedding, goal)[-1], 6) AS tail FROM embeddings JOIN g USING (label)""")
 def array_goal_concat(spark, sf):

@@ -119,6 +119,13 @@ def test_nstep_matches_a_queue(spark):
     assert got == want
 
 
+def test_hindsight_over_the_whole_episode(spark):
+    rows = [(e, i) for e in range(3) for i in range(e * 100, e * 100 + 5 * e + 1)]
+    got = transitions.hindsight(spark.createDataFrame(rows, "e long, i long"), "e", "i", "i", "episode", 4).collect()
+    assert sorted((x.i, x.j, x.new_goal) for x in got) == [(i, j, e * 100 + (i * 31 + j * 17 + 7) % (5 * e + 1)) for e, i in rows for j in range(4)]
+    assert any(x.new_goal < x.i for x in got)
+
+
 def test_log_round_trip_and_violations(spark, tmp_path):
     records = [{"op": "decay_config", "format": 4, "half_life": 2}] + [{"op": "insert", "index": i, "new_priority_int": str(2**63 + i)} for i in range(5)]
     lines = logs.chained(records)
