@@ -16,6 +16,8 @@ from embertide.llm.common import spread, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
+#: Distinct feature sets whose scores a worker remembers.
+HELD_TYPES = 100_000
 Span = tuple[str, int, int]
 
 # --- fixed patterns ----------------------------------------------------------
@@ -80,6 +82,15 @@ PATTERNS = (
     "{w} {w} {card} {w}",
     "{w} {w} {secret} {w} {w}",
     "{w} {secret} {w}",
+    "{w}. {secret} {w}",
+    "{secret} {w} {w}",
+    "{w} | {w} | {secret} | {w}",
+    "{w}!! {secret}!! {w}!!",
+    "{w} {assign} {w} {w}",
+    "{w} {assign} {w}",
+    "{w} {talk} {w} {w}",
+    "{w} the {talk} {w}, {w}",
+    "{w} {assign} | {w}",
     "{w} {w} in {n} {w}, {w} {n} {w}",
     "{w} {n} {w} {w} {n}",
     "{w}, {w} {date} {w} {w}",
@@ -95,6 +106,8 @@ PATTERNS = (
     "{w} {hex} {w} {w}",
     "{w} {w} {serial} {w}",
 )
+#: Names of settings that hold a secret (fixed values).
+KEYS = "password passwd pwd passphrase secret token key api_key apikey auth_token access_token client_secret private_key credential".split()
 SYLLABLES = "an er on the ti es re ou ent al ing de la que en ein ung ver cion mente rr os eau oi aux pf sch le as th wh ea".split()
 
 
@@ -121,8 +134,16 @@ def _slot(kind: str, r: random.Random) -> str:
         a, b, c = _num(r, 3), _num(r, 3), _num(r, 4)
         return r.choice((f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{_num(r, 2)} {a} {b} {c}", f"{a}.{b}.{c}"))
     if kind == "secret":
-        value = "".join(r.choices("0123456789abcdef", k=r.randint(14, 32)))
-        return r.choice(("password=", "passwd=", "api_key=", "token=", "secret=", "pwd:", "apikey:")) + value
+        key = r.choice(KEYS)
+        key = r.choice((key, key, key, key.upper(), key.capitalize()))
+        value = "".join(r.choices(r.choice(("0123456789abcdef", "0123456789ABCDEF", "abcdefghkmnpqrsTUVWXYZ0123456789")), k=r.choice((12, 16, 24, 32, 40, 64))))
+        sign, quote = r.choice(("=", "=", ":")), r.choice(("", '"', '"', "'"))
+        return key + r.choice(("{}", "{} ", " {} ", " {} ", " {} ")).format(sign) + quote + value + quote
+    if kind == "assign":  # a setting that is no secret
+        value = r.choice((_num(r, 2), name, f'"{name}"', f"'{name}'", "true", '"' + "".join(r.choices("0123456789abcdef", k=40)) + '"'))
+        return r.choice((name, "x", "id", "colour", "size", "commit", "sha")) + r.choice((" = ", " = ", "=", ": ")) + value
+    if kind == "talk":  # the words of a setting outside one
+        return r.choice(KEYS) + " " + r.choice((name, "of", "is", "was", "and"))
     if kind == "hex":
         return "".join(r.choices("0123456789abcdef", k=r.choice((8, 12, 32, 40, 64))))
     if kind == "serial":
@@ -138,7 +159,7 @@ def _slot(kind: str, r: random.Random) -> str:
     return _num(r, r.randint(1, 5))
 
 
-def labelled_table(rows: int = 700, seed: int = 11) -> list[list[tuple[str, str]]]:
+def labelled_table(rows: int = 1100, seed: int = 11) -> list[list[tuple[str, str]]]:
     """Sentences of (word, label), the same on every call."""
     r = random.Random(seed)
     table = []
@@ -162,8 +183,9 @@ def labelled_table(rows: int = 700, seed: int = 11) -> list[list[tuple[str, str]
 
 # --- word shapes -----------------------------------------------------------------
 _SHAPES = ((re.compile(r"[A-Z]+"), "X"), (re.compile(r"[a-z]+"), "x"), (re.compile(r"[^\W\d_A-Za-z]+"), "x"))
-_SECRET = re.compile(r"(?i)(pass|pwd|secret|token|key)\w*[=:]\S")
-_CUES = frozenset("call tel phone mail email contact host ip from card at".split())
+_SECRET = re.compile(rf"(?i)({'|'.join(KEYS)})[=:]")
+_HEX = re.compile(r"[0-9A-Fa-f]{12,}")
+_CUES = frozenset("call tel phone mail email contact host ip from card at commit sha".split())
 
 
 _PLAIN = tuple(("runs=x", "rough=x", "digits=0", f"long={x}", "letters") for x in (False, True))
@@ -172,7 +194,7 @@ _PLAIN = tuple(("runs=x", "rough=x", "digits=0", f"long={x}", "letters") for x i
 @lru_cache(maxsize=100_000)
 def word_features(word: str) -> tuple[str, ...]:
     core = word.strip(".,;:!?()[]\"'")
-    if core.isascii() and core.isalpha() and core.islower() and "(" not in word and core not in _CUES:
+    if core.isascii() and core.isalpha() and core.islower() and "(" not in word and core not in _CUES and core not in KEYS:
         return _PLAIN[len(core) > 15]
     shape = core
     for pattern, mark in _SHAPES:
@@ -186,14 +208,21 @@ def word_features(word: str) -> tuple[str, ...]:
     out += [f"has{c}" for c in "@=+(-" if c in word]
     out += ["at"] if "at)" in word or "at]" in word else []
     out += ["setting"] if _SECRET.match(core) else []
+    out += ["open"] if word[-1:] in "=:" and word[:-1].lower() in KEYS else []
+    out += ["sign"] if word in ("=", ":") else []
+    out += ["quoted"] if word[:1] in "\"'" and core else []
+    out += ["hex"] if _HEX.fullmatch(core) and digits else []
+    out += ["mixed"] if len(core) > 9 and digits and core.isalnum() and digits < len(core) else []
     out += ["dots3"] if core.count(".") == 3 else []
     cue = core.lower()
+    if cue in KEYS:
+        return (*out, "cue=secret")
     return (*out, "cue=" + cue) if cue in _CUES else tuple(out)
 
 
 # --- the field ---------------------------------------------------------------------
 class ShapeCRF:
-    """Emission of a word = scores of its own, its left and its right neighbour's features."""
+    """Emission of a word = scores of its own, its left and its right neighbour's features; a text starts after and ends before an O."""
 
     def __init__(self, table: list[list[tuple[str, str]]], steps: int = 120, ridge: float = 0.02):
         names = sorted({f for row in table for w, _ in row for f in word_features(w)})
@@ -207,7 +236,7 @@ class ShapeCRF:
     def _ready(self) -> None:
         self.types: dict[tuple[str, ...], int] = {}
         self.words: dict[str, int] = {}
-        self.table = np.zeros((3, 0, len(LABELS)))
+        self.table = np.zeros((3, 1024, len(LABELS)))
         spread = max(np.ptp(self.step), 1e-9)
         #: A word this much likelier as O than as anything else is O in a best path:
         #: making it O changes two transitions, each by `spread` at most.
@@ -227,13 +256,17 @@ class ShapeCRF:
     def type_of(self, word: str) -> int:
         f = word_features(word)
         if f not in self.types:
-            self.types[f] = self.table.shape[1]
-            self.table = np.concatenate([self.table, self._score(f)[:, None]], axis=1)
+            at = self.types[f] = len(self.types)
+            if at == self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            self.table[:, at] = self._score(f)
         if len(self.words) > 200_000:
             self.words.clear()
         return self.words.setdefault(word, self.types[f])
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        if len(self.types) > HELD_TYPES:
+            self._ready()  # what is remembered only saves time
         get = self.words.get
         ids = np.fromiter((t if (t := get(w)) is not None else self.type_of(w) for w in words), np.int64, len(words))
         e = self.table[0][ids]
@@ -259,23 +292,30 @@ class ShapeCRF:
         gold = np.eye(k)[y] * mask[..., None]
         pair = mask[:, 1:]
         gold_step = np.einsum("nta,ntb->ab", gold[:, :-1] * pair[..., None], gold[:, 1:])
+        rows, last = np.arange(len(table)), mask.sum(1) - 1
+        gold_step[0] += gold[:, 0].sum(0)
+        gold_step[:, 0] += gold[rows, last].sum(0)
         moment = {n: [np.zeros_like(getattr(self, n)) for _ in range(2)] for n in ("own", "left", "right", "step")}
         for t in range(1, steps + 1):
             e = np.zeros((len(table), long, k))
             for n, (i, j, f) in places.items():
                 np.add.at(e, (i, j), getattr(self, n)[f])
             a, b = np.zeros_like(e), np.zeros_like(e)
-            a[:, 0] = e[:, 0]
+            a[:, 0] = e[:, 0] + self.step[0]
+            b[:, -1] = self.step[:, 0]
             for j in range(1, long):
                 new = _lse(a[:, j - 1, :, None] + self.step, 1) + e[:, j]
                 a[:, j] = np.where(mask[:, j, None], new, a[:, j - 1])
             for j in range(long - 2, -1, -1):
                 new = _lse(self.step + (e[:, j + 1] + b[:, j + 1])[:, None, :], 2)
-                b[:, j] = np.where(mask[:, j + 1, None], new, 0)
-            z = _lse(a[:, -1], 1)
+                b[:, j] = np.where(mask[:, j + 1, None], new, self.step[:, 0])
+            z = _lse(a[:, -1] + self.step[:, 0], 1)
             p = np.exp(a + b - z[:, None, None]) * mask[..., None]
             joint = a[:, :-1, :, None] + self.step + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]
-            grads = {"step": gold_step - (np.exp(joint) * pair[..., None, None]).sum((0, 1))}
+            want = (np.exp(joint) * pair[..., None, None]).sum((0, 1))
+            want[0] += p[:, 0].sum(0)
+            want[:, 0] += p[rows, last].sum(0)
+            grads = {"step": gold_step - want}
             for n, (i, j, f) in places.items():
                 g = np.zeros_like(getattr(self, n))
                 np.add.at(g, f, (gold - p)[i, j])
@@ -400,7 +440,9 @@ def scan_pii(docs: DataFrame, model: ShapeCRF | None = None) -> DataFrame:
     """Per row: doc_id, counts of base spans by kind, base and spans as kind:start:end lists.
 
     Offsets are code points, end exclusive. Null text is empty and has no spans; a row without doc_id is
-    scanned like any other; repeated rows repeat. A row's work is on its own text alone.
+    scanned like any other; repeated rows repeat; an empty table gives an empty result; other columns are ignored. A row's
+    work is on its own text alone, linear in its length; a very long text is held whole. Of equally good paths of the field the
+    one with the earlier label in LABELS counts. An added span that overlaps a base span goes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or trained())
     rows = spread(docs.select("doc_id", text_or_empty().alias("text")))
