@@ -7,7 +7,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embertide.llm.common import heavy_lookup, materialize, mix64, rolling, spread, stay, text_or_empty, word_hashes
@@ -19,8 +19,10 @@ SHINGLE, PERCENT = 5, 75
 #: At a similarity of 0.75 a pair differs in 32 or more of 64 symbols once in 50,000; at 0.8 once in 10^8.
 SYMBOLS, CHUNKS, ERRORS = 64, 16, 1
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Rounds in which buckets link to a centre; members of a bucket that a task compares at a time.
-STAR_ROUNDS, BLOCK_MEMBERS = 3, 2000
+#: Members of a bucket that a task compares at a time, and rows of small buckets that it holds.
+BLOCK_MEMBERS, CELL_ROWS = 20_000, 200_000
+#: Bytes of shingle hashes of a cluster that a task compares at a time, and of small clusters that it holds.
+BLOCK_BYTES, CELL_BYTES = 32 << 20, 16 << 20
 _A = (mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = mix64(np.arange(1001, 1001 + SYMBOLS, dtype=np.uint64)).astype(np.uint32)
 
@@ -61,12 +63,12 @@ def _sign(batches):
 
 
 def _chunk_keys(batches):
-    """(key, id, n) for each chunk of a signature and each symbol that may differ in it; a key names chunk, place and the other symbols."""
+    """(g, id) for each chunk of a signature and each symbol that may differ in it; g names chunk, place and the other symbols."""
     width = SYMBOLS // CHUNKS
     for b in batches:
         if not b.num_rows:
             continue
-        sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, CHUNKS, width).astype(np.int64)
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, width).astype(np.int64)
         keys = np.empty((len(sig), CHUNKS, width), np.int64)
         for free in range(width):
             same = [i for i in range(width) if i != free]
@@ -75,54 +77,157 @@ def _chunk_keys(batches):
                 keys[:, :, free] |= sig[:, :, i] << (16 * place)
         times = CHUNKS * width
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), times)), pa.array(np.repeat(b.column(1).to_numpy(), times))],
-            ["key", "id", "n"],
+            [pa.array(keys.reshape(-1)), pa.array(np.repeat(b.column(0).to_numpy(), times))],
+            ["g", "id"],
         )
 
 
-def _confirm(batches):
-    """Pairs whose full shingle sets reach the similarity."""
-    held: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
-    for b in batches:
-        good = []
-        for x, tx, ty in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if held[0] != x:
-                held = (x, shingle_set(tx))
-            one, two = held[1], shingle_set(ty)
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            good.append(100 * both >= PERCENT * (len(one) + len(two) - both) and both > 0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def _close_pairs(batches):
-    """(a, b) of different components within MAX_DISTANCE, among the members (rows: one, two, id, n, component, sig) of two blocks of a bucket."""
-    rows = pa.Table.from_batches(list(batches))
-    if not rows.num_rows:
-        return rows.select(["id", "n"]).rename_columns(["a", "b"])
-    rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[("n", "ascending"), ("id", "ascending")]))
-    ids, n, part = (rows.column(c).to_numpy() for c in ("id", "n", "component"))
-    left, right, own = (rows.column(c).to_numpy() for c in ("one", "two", "block"))
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-    a, b = [], []
+def _forest(ids: np.ndarray, part: np.ndarray, n: np.ndarray, near) -> list[tuple[int, int]]:
+    """Links that join the parts (components so far) of members in order of set size n; at most one less than there are parts.
+
+    near(i, js) tells which of the members js are linked with i. Members of one part are never compared, so a dense group
+    costs its size, and no pair beyond a spanning forest leaves the task.
+    """
+    part, links = part.copy(), []
     end = np.searchsorted(n * PERCENT, n * 100, side="right")  # sizes beyond can't be alike
+    left = len(np.unique(part)) - 1
     for i in range(len(ids)):
-        j = np.arange(i + 1, end[i])
-        j = j[part[j] != part[i]]
-        if left[i] != right[i]:
-            j = j[own[j] != own[i]]
-        if len(j):
-            near = j[(sig[j] != sig[i]).sum(1) <= MAX_DISTANCE]
-            a += [ids[i]] * len(near)
-            b += ids[near].tolist()
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        if not left:
+            break
+        js = np.arange(i + 1, end[i])
+        js = js[part[js] != part[i]]
+        if len(js):
+            js = js[near(i, js)]
+        if len(js):
+            met, first = np.unique(part[js], return_index=True)
+            links += [(int(ids[i]), int(ids[j])) for j in js[first]]
+            part[np.isin(part, met)] = part[i]
+            left -= len(met)
+    return links
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal keys in sorted columns."""
+    size = len(keys[0])
+    new = np.zeros(size, bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], size)
+
+
+def _link_table(links: list[tuple[int, int]]) -> pa.Table:
+    a, b = np.array(links, np.int64).reshape(-1, 2).T
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _close(rows: pa.Table) -> pa.Table:
+    """A spanning forest, for each group of rows (g, one, two, id, part, n, sig), of the pairs within MAX_DISTANCE."""
+    rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("g", "one", "two", "n", "id")]))
+    g, one, two, ids, part, n = (rows.column(c).to_numpy() for c in ("g", "one", "two", "id", "part", "n"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+    starts, ends = _groups(g, one, two)
+    head = np.repeat(starts, ends - starts)
+    # the smallest member of each group against all others, all groups at once
+    star = np.zeros(len(ids), bool)
+    for i in range(0, len(ids), 50_000):
+        s = slice(i, i + 50_000)
+        star[s] = (sig[s] != sig[head[s]]).sum(1) <= MAX_DISTANCE
+    star &= (n[head] * 100 >= n * PERCENT) & (part != part[head])
+    links = list(zip(ids[head[star]].tolist(), ids[star].tolist(), strict=True))
+    apart = (part != part[head]) & ~star
+    open_ = np.add.reduceat(apart.astype(np.int64), starts) if len(starts) else starts
+    for a, b in zip(starts[(open_ > 0) & (ends - starts > 2)], ends[(open_ > 0) & (ends - starts > 2)], strict=True):
+        own, label = sig[a:b], part[a:b].copy()
+        label[np.isin(label, label[star[a:b]])] = label[0]
+        links += _forest(ids[a:b], label, n[a:b], lambda i, js, own=own: (own[js] != own[i]).sum(1) <= MAX_DISTANCE)
+    return _link_table(links)
+
+
+class _Sets:
+    """The shingle sets of a group, as numbers that name its distinct shingles."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.at = np.cumsum(self.n) - self.n
+        distinct, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat, self.mark = inverse.astype(np.int32), np.zeros(len(distinct), bool)
+
+    def near(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Which full sets of js reach the similarity with set i; js in slices of about a million shingles."""
+        own = self.flat[self.at[i] : self.at[i] + self.n[i]]
+        self.mark[own] = True
+        both = np.empty(len(js), np.int64)
+        cuts = np.searchsorted(np.cumsum(self.n[js]), np.arange(0, self.n[js].sum(), 1 << 20))
+        for lo, hi in zip(cuts, [*cuts[1:], len(js)], strict=True):
+            if lo == hi:
+                continue
+            size = self.n[js[lo:hi]]
+            first = np.cumsum(size) - size
+            places = np.arange(size.sum()) + np.repeat(self.at[js[lo:hi]] - first, size)
+            both[lo:hi] = np.add.reduceat(self.mark[self.flat[places]].astype(np.int64), first)
+        self.mark[own] = False
+        return 100 * both >= PERCENT * (self.n[i] + self.n[js] - both)
+
+
+def _confirm(rows: pa.Table) -> pa.Table:
+    """A spanning forest, for each group of rows (g, one, two, id, part, text), of the pairs whose full shingle sets reach the similarity."""
+    rows = rows.take(pa.compute.sort_indices(rows, sort_keys=[(c, "ascending") for c in ("g", "one", "two", "id")]))
+    g, one, two, all_ids, part = (rows.column(c).to_numpy() for c in ("g", "one", "two", "id", "part"))
+    links = []
+    for a, b in zip(*_groups(g, one, two), strict=True):
+        if b - a < 2 or (part[a:b] == part[a]).all():
+            continue
+        sets = [shingle_set(t) for t in rows.column("text").slice(a, b - a).to_pylist()]
+        order = np.array(sorted((i for i, s in enumerate(sets) if len(s)), key=lambda i: (len(sets[i]), all_ids[a + i])), np.int64)
+        if len(order) > 1:
+            held = _Sets([sets[i] for i in order])
+            links += _forest(all_ids[a:b][order], part[a:b][order], held.n, held.near)
+    return _link_table(links)
+
 
+def _deal(rows: DataFrame, cells: int, task) -> DataFrame:
+    """Links (a, b) of task over the groups (g, one, two) of rows, many small groups in one cell."""
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("g", "one", "two"), F.lit(cells)).cast("int"))
+    return rows.groupBy("cell").applyInArrow(task, "a long, b long")
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts reach the similarity on their full shingle sets."""
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    met = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
-    return materialize(met.mapInArrow(_confirm, "a long, b long"), "links")
+
+def _joined(rows: DataFrame, cells: int, task, label: str, wide: bool) -> DataFrame:
+    """(id, component) over the links that task finds among the members of each group g; rows: g, id, blocks and what task reads.
+
+    Members of a group are dealt by hash into its blocks, and each block is searched for links. Groups
+    of more than one block are dealt anew, which joins the parts of a dense group. At last the members of such a group that
+    are of different components all meet: the blocks of its least component with those of all others, and those among themselves.
+    """
+    block = lambda turn: F.pmod(F.xxhash64(F.lit(turn), "g", "id"), F.col("blocks")).cast("int")
+    dealt = rows.withColumn("part", F.col("id")).withColumn("one", block(0)).withColumn("two", F.col("one"))
+    links = materialize(_deal(dealt, cells, task).distinct(), label)
+    found = components(links)
+    if not wide:
+        return found
+
+    def parted(found: DataFrame) -> DataFrame:
+        known = rows.where("blocks > 1").join(found.withColumnRenamed("component", "part"), "id", "left")
+        return known.withColumn("part", F.coalesce("part", "id"))
+
+    dealt = parted(found).withColumn("one", block(1)).withColumn("two", F.col("one"))
+    links = links.unionByName(materialize(_deal(dealt, cells, task).distinct(), label))
+    found = components(links)
+    known = materialize(parted(found).select("g", "id", "blocks", "part"), "parts")
+    sizes = known.groupBy("g", "part").agg(F.count(F.lit(1)).alias("size"))
+    chief = sizes.groupBy("g").agg(F.max(F.struct("size", "part")).alias("top"), F.sum("size").alias("all"))
+    chief = chief.where("top.size < all").select("g", F.col("top.part").alias("chief"), (F.col("all") - F.col("top.size")).alias("others"), "all")
+    # blocks 0 .. small - 1 hold the other components, the rest the chief one
+    chief = chief.withColumn("share", F.col("others") / F.col("all"))
+    known = parted(found).join(chief.select("g", "chief", "share"), "g")
+    small = F.ceil(F.col("blocks") * F.col("share")).cast("int")
+    known = known.withColumns({"small": small, "own": F.col("part") != F.col("chief")})
+    place = F.when(F.col("own"), F.pmod(F.xxhash64(F.lit(2), "id"), F.col("small"))).otherwise(F.col("small") + block(2))
+    last = F.when(F.col("own"), F.col("small") + F.col("blocks") - 1).otherwise(F.col("small") - 1)
+    known = known.withColumn("place", place.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    known = known.withColumns({"one": F.least("place", "other"), "two": F.greatest("place", "other")})
+    return components(links.unionByName(materialize(_deal(known, cells, task).distinct(), label)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -164,17 +269,17 @@ def near_components(docs: DataFrame) -> DataFrame:
 
     Documents are linked when their shingle sets have a Jaccard similarity of PERCENT or more; component_id is the smallest doc_id
     reachable. Equal sets collapse to the class of their smallest doc_id first. Classes that agree
-    on a chunk of the signature but for ERRORS symbols share a bucket, so every pair up to MAX_DISTANCE meets.
-    Links join components in rounds of stars first: each class is tested with the centre it
-    shares most buckets with, a centre being the member that meets most others (in the last round the least id).
-    Members of a bucket that are then of different components are compared by signature in blocks of BLOCK_MEMBERS,
-    and the pairs within MAX_DISTANCE, and only those, go on to the test on full sets.
-    A dense group so costs its size in tests of texts, not its square.
+    on a chunk of the signature but for ERRORS symbols share a bucket, so every pair up to MAX_DISTANCE meets. Each
+    bucket is searched in its task and gives a spanning forest of its pairs within MAX_DISTANCE; the clusters these
+    forests make hold all pairs that can be links. The texts of a cluster then meet once, and a task compares the full sets of
+    all members not yet joined, again giving a forest. So pairs are compared where they meet and never leave as rows: what
+    moves grows with the members, not with their square. Buckets of over BLOCK_MEMBERS members and clusters of over
+    BLOCK_BYTES are searched in blocks, and the blocks of different components of one group against each other (_joined).
 
     Null or empty texts have no shingles and stand alone; texts of fewer words than a shingle
     have their whole sequence as one. Rows without doc_id are in no link and kept;
     rows that repeat a doc_id count as one document with the links of each. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. A very long text is one row of its cluster and is held whole.
     """
     rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
     signed = materialize(rows.mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
@@ -183,40 +288,15 @@ def near_components(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("size")
     )
     classes = materialize(classes, "classes")
-    keys = spread(classes.select("id", "n", "sig")).mapInArrow(_chunk_keys, "key long, id long, n long")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    buckets = materialize(keys.join(shared, "key"), "buckets")
-    wanted = buckets.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    texts = materialize(texts.join(wanted, "id", "left_semi"), "texts")
-
-    links, found = None, None
-    for turn in range(STAR_ROUNDS):
-        open_ = _unresolved(buckets, found)
-        sizes = open_.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        met = open_.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("degree"))
-        open_ = open_.join(met, "id")
-        rank = -F.col("degree") if turn < STAR_ROUNDS - 1 else F.col("id")
-        centre = open_.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "id", "n", "component")).alias("c"))
-        pairs = open_.join(centre, "key").where((F.col("c.component") != F.col("component")) & _alike(F.col("n"), F.col("c.n")))
-        pairs = pairs.groupBy(F.col("c.id").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
-        best = Window.partitionBy("b").orderBy(F.desc("hits"), "a")
-        pairs = pairs.withColumn("nth", F.row_number().over(best)).where("nth = 1")
-        new = confirm(pairs, texts)
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
-    left = _unresolved(buckets, found).join(classes.select("id", "sig"), "id")
-    wide = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    left = left.join(wide, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "n", "component", "sig")
-    pairs = left.groupBy("key", "one", "two").applyInArrow(lambda t: _close_pairs(t.to_batches()), "a long, b long")
-    new = confirm(pairs.distinct(), texts)
-    if not new.isEmpty():
-        links = new if links is None else links.unionByName(new)
-        found = components(links)
+    keys = spread(classes.select("id", "sig")).mapInArrow(_chunk_keys, "g long, id long")
+    shared = keys.groupBy("g").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    buckets = materialize(keys.join(shared, "g").distinct(), "buckets")
+    size = buckets.agg(F.count(F.lit(1)).alias("rows"), F.max("many").alias("most")).first()
+    found = None
+    if size["rows"]:
+        members = buckets.withColumn("blocks", F.ceil(F.col("many") / BLOCK_MEMBERS).cast("int")).join(classes.select("id", "n", "sig"), "id")
+        found = _joined(members.drop("many"), -(-size["rows"] // CELL_ROWS), _close, "near", size["most"] > BLOCK_MEMBERS)
+        found = _confirmed(docs, classes, found)
     lead = classes.select("set_key", "id", "size")
     if found is not None:
         lead = lead.join(found, "id", "left")
@@ -229,18 +309,19 @@ def near_components(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _alike(n: Column, m: Column) -> Column:
-    """Whether set sizes allow the similarity."""
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT)
-
-
-def _unresolved(buckets: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members of buckets that hold more than one component, with their component."""
-    if found is None:
-        return buckets.withColumn("component", F.col("id"))
-    known = buckets.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return materialize(known.join(mixed, "key"), "unresolved")
+def _confirmed(docs: DataFrame, classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, component) by links between full sets inside the clusters (id, component)."""
+    # a doc_id that repeats has several classes; its cluster holds all of them
+    words = classes.groupBy("id").agg(F.sum("n").alias("n"))
+    members = materialize(clusters.join(words, "id").withColumnRenamed("component", "g"), "clusters")
+    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") * 8 / BLOCK_BYTES).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "cluster_sizes")
+    total = members.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    wide = sizes.agg(F.max("blocks")).first()[0] or 1
+    placed = heavy_lookup(members.select("id", "g"), sizes, "g", "size", total["rows"]).select("id", "g", "blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    cells = -(-8 * (total["n"] or 0) // CELL_BYTES)
+    return _joined(texts.join(placed, "id"), max(1, cells), _confirm, "links", wide > 1)
 
 
 def drop_near(docs: DataFrame) -> DataFrame:

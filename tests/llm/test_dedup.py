@@ -103,8 +103,11 @@ def brute_near(rows):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_near_dedup_is_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,small", [(3, False), (4, False), (4, True)])
+def test_near_dedup_is_brute_force(spark, seed, small, monkeypatch):
+    if small:  # buckets and clusters of several blocks
+        monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 2)
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 2000)
     texts = corpus(seed)
     df = table(spark, texts).withColumn("set_key", F.lit(1)).withColumn("id", F.lit(2))
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(df).collect()}
@@ -124,6 +127,51 @@ def test_near_dedup_chain_and_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 8] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def hot_group(n, seed=9):
+    """One text and n variants of it: most near it, some only near another variant, some near none."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for i in range(n):
+        t = list(base)
+        for k in r.sample(range(100), (i % 7 == 6) * r.randint(3, 7)):
+            t[k] = f"z{i}x{k}"
+        texts.append(" ".join(t) + f" end{i} {i % 50}")
+    return texts
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_near_dedup_hot_group_is_brute_force_and_moves_no_pairs(spark, blocks, monkeypatch):
+    if blocks:
+        monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 150)
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 150 * 800)
+    moved = {}
+    write = near_dedup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        moved[label] = moved.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    texts = hot_group(400) + ["far away " * 30, None]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_components(table(spark, texts)).collect()}
+    assert got == brute_near(list(enumerate(texts)))
+    assert moved["links"] < 3 * 400 and moved["near"] <= moved["buckets"] <= 64 * 400
+
+
+def test_near_dedup_recall_at_the_limit():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    met = 0
+    for _ in range(2000):  # sets of 700 of which 600 are shared: a similarity of exactly 0.75
+        x = r.integers(0, 1 << 63, 800, dtype=np.uint64)
+        a, b = near_dedup.signature(x[:700]), near_dedup.signature(x[100:])
+        met += (a != b).sum() <= near_dedup.MAX_DISTANCE
+    assert met >= 1998
+
+
 def test_chunk_keys_meet_every_pair_within_the_distance():
     import numpy as np
     import pyarrow as pa
@@ -133,10 +181,10 @@ def test_chunk_keys_meet_every_pair_within_the_distance():
         a = r.integers(0, 1 << 16, near_dedup.SYMBOLS, dtype=np.uint16)
         b = a.copy()
         b[r.choice(near_dedup.SYMBOLS, near_dedup.MAX_DISTANCE, replace=False)] ^= 1
-        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([9, 9]), pa.array([a.tobytes(), b.tobytes()])], ["id", "n", "sig"])
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([a.tobytes(), b.tobytes()])], ["id", "sig"])
         out = next(near_dedup._chunk_keys([batch])).to_pydict()
-        one = {k for k, i in zip(out["key"], out["id"]) if i == 1}
-        assert one & {k for k, i in zip(out["key"], out["id"]) if i == 2}
+        one = {k for k, i in zip(out["g"], out["id"]) if i == 1}
+        assert one & {k for k, i in zip(out["g"], out["id"]) if i == 2}
 
 
 @pytest.mark.parametrize("limit", [10**6, 0])
