@@ -179,11 +179,92 @@ def test_html_text_and_edges(spark):
     assert html_extract.extract_pages(df.limit(0)).collect() == []
 
 
+def story(r, k=30):
+    return " ".join("".join(r.choices("abcdefghij", k=r.randint(2, 8))) for _ in range(k))
+
+
+def neutral(i, r, layout="x"):
+    """A page with class names that tell nothing: a menu, an offer, a notice, the story, some varying small print."""
+    menu = "".join(f"<div class=q7><a href='/{k}'>{k}</a></div>" for k in ("Home", "World", "Shop"))
+    top = "<div class=k3><p>Our offer of the week: two for one</p></div>"
+    own = f"<div class=z1{layout}><h1>Title {i}</h1><div class=z2><p>{story(r)}<p>{story(r)} &amp; {i}</div></div>"
+    small = f"<div class=k9><p>seen {i} times</p><p>We value your privacy</p></div>"
+    parts = [f"<div class=k1>{menu}</div>", top, own, small] if layout == "x" else [own, small, f"<div class=k1>{menu}</div>", top]
+    return "<html><head><title>t</title></head><body>" + "".join(parts) + "</body></html>"
+
+
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_tells_story_from_neutral_furniture(spark):
+    r = random.Random(2)
+    rows = [(i, f"https://h.example/{i}", neutral(i, r, "xy"[i % 2])) for i in range(20)] + [(100 + i, "https://three.example/", neutral(i, r)) for i in range(3)]
+    got = extracted(spark, rows)
+    for i, _, page in rows:
+        want = re.search(r"<h1>(.*?)</h1><div class=z2><p>(.*?)<p>(.*?)</div>", page).groups()
+        assert got[i] == "\n".join(want).replace("&amp;", "&"), i
+    few = extracted(spark, rows[:2])  # no template on a host of two pages: names decide, and tell nothing
+    assert "two for one" in few[0]
+
+
 def test_template_text_is_dropped_where_a_host_repeats_it(spark):
-    page = "<html><body><article><p>story {0}</p><p>more {0}</p><div><p>Subscribe to our letter</p></div></article></body></html>"
-    rows = [(i, f"https://h.example/{i}", page.format(i)) for i in range(20)] + [(50, "https://few.example/", page.format(1))]
-    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "story 3\nmore 3" and got[50].endswith("letter")
+    page = "<html><body><article><p>{0}</p><p>more {1}</p><div><p>Subscribe to our letter</p></div></article></body></html>"
+    r = random.Random(1)
+    rows = [(i, f"https://h.example/{i}", page.format(story(r), i)) for i in range(20)] + [(50, "https://few.example/", page.format("one", 1))]
+    got = extracted(spark, rows)
+    assert all("Subscribe" not in got[i] and got[i].endswith(f"more {i}") for i in range(20)) and got[50].endswith("letter")
+
+
+def test_copies_and_shared_passages_are_no_template(spark):
+    r = random.Random(3)
+    page = "<html><body><article><h1>{0}</h1><p>{1}</p><p>{2}</p></article></body></html>"
+    same = story(r, 60)
+    rows = [(i, "https://copies.example/", page.format("T", same, story(r, 60) if i == 9 else same)) for i in range(3)]
+    rows += [(10 + i, "https://near.example/", page.format("T", same, f"{same[:40].strip()} {i}")) for i in range(4)]
+    rows += [(20 + i, "https://passage.example/", page.format(i, same if i < 4 else story(r), story(r))) for i in range(12)]
+    got = extracted(spark, rows)
+    assert all(got[i] == f"T\n{same}\n{same}" for i in range(3))
+    assert all(got[10 + i] == f"T\n{same}\n{same[:40].strip()} {i}" for i in range(4)) and all(same in got[20 + i] for i in range(4))
+
+
+def test_names_give_way_to_the_template(spark):
+    r = random.Random(4)
+    page = "<html><body><div class=ad>{2}</div><div class='search-results'><p>{0}</p></div><article-x></article-x><div class=comments><p>c {1}</p></div></body></html>"
+    rows = [(i, "https://s.example/", page.format(story(r, 50), i, "Buy")) for i in range(5)]
+    got = extracted(spark, rows)
+    assert all(got[i] == re.search("<p>(.*?)</p>", rows[i][2])[1] for i in range(5))
+    head = "<article><div class='post-header'><h1>Title</h1></div><p>one</p><div class='comments'><p>c</p></div></article>"
+    assert html_extract.main_text(head) == "Title\none"
+
+
+def test_classes_are_brute_force(spark):
+    r = random.Random(5)
+    pages = [neutral(i, r, "xyx"[i % 3]) for i in range(9)]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    got = {(c.key, c.layout, c["class"]) for c in html_extract.deduce_classes(df).collect()}
+    counts = [__import__("collections").Counter(t for t in html_extract.Page(p).tokens()) for p in pages]
+    tokens = set().union(*counts)
+    on = {t: frozenset(i for i, c in enumerate(counts) if t in c) for t in tokens}
+    tags = __import__("collections").Counter(on[t] for t in tokens if t[2])
+    kept = {t for t in tokens if len(on[t]) >= html_extract.MIN_PAGES and tags[on[t]] >= html_extract.LAYOUT_TAGS}
+    vector = {t: (tuple(c[t] for c in counts), t[1]) for t in kept}
+    assert {k for k, _, _ in got} == {t[0] for t in kept}
+    for group, by in ((lambda k: k[1], lambda t: on[t]), (lambda k: k[2], lambda t: vector[t])):
+        mine, theirs = {}, {}
+        for k in got:
+            mine.setdefault(group(k), set()).add(k[0])
+        for t in kept:
+            theirs.setdefault(by(t), set()).add(t[0])
+        assert set(map(frozenset, mine.values())) == set(map(frozenset, theirs.values()))
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 20_000 + "<p>end" + "</div>" * 20_000
+    assert html_extract.main_text(deep) == "end"
+    assert html_extract.main_text("<b>" * 5_000 + "<p>x<p>y" + "</i>" * 5_000) == "x\ny"
+    long = "<article>" + "<p>wort &eacute;" * 50_000
+    assert html_extract.main_text(long) == "\n".join(["wort é"] * 50_000)
 
 
 # --- licences -------------------------------------------------------------------
