@@ -15,6 +15,8 @@ PLAIN_WORDS = 4
 SHARE, MANY = 0.5, 6
 #: Benchmark windows broadcast at most (16 bytes each); beyond that the join shuffles.
 BROADCAST_WINDOWS = 2_000_000
+#: Documents that meet an item broadcast at most, with the places asked of them (about 100 bytes each).
+BROADCAST_ROWS = 200_000
 
 # Marks of typed placeholders: the value stays behind its mark, for the consistency check.
 NUM, NAME, UNIT = "\x01", "\x02", "\x03"
@@ -84,12 +86,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     as values may be new, by its share of those that meet by template.
 
     Null or empty texts have no windows and meet nothing; rows without doc_id or item_id are
-    ignored; repeated rows of one doc_id count once. Extra columns are ignored. An
-    empty table on either side gives an empty result. The benchmark is the fixed query set:
-    its windows are broadcast up to BROADCAST_WINDOWS, else joined by shuffle.
+    ignored. Rows that repeat a doc_id are one document that holds what any of them holds, each aligned within its own text;
+    equal ones count once. Rows that repeat an item_id with different texts are one item of the windows of each. Extra columns are
+    ignored. An empty table on either side gives an empty result. A very long text is read whole, in its row. The
+    benchmark is the fixed query set: its windows are broadcast up to BROADCAST_WINDOWS, else joined by shuffle.
+    Of a document that meets, only the values behind placeholders of an alignment travel, one row each.
     """
-    items = benchmark.where("item_id is not null").select("item_id", canonical_words(text_or_empty()).alias("iw"))
-    items = materialize(items.where(F.size("iw") > 0), "items")
+    items = benchmark.where("item_id is not null").select("item_id", F.xxhash64(text_or_empty()).alias("iid"), canonical_words(text_or_empty()).alias("iw"))
+    items = materialize(items.where(F.size("iw") > 0).dropDuplicates(["item_id", "iid"]), "items")
     short = [r[0] for r in items.select(F.size("iw")).where(F.size("iw") < WINDOW).distinct().collect()]
     sizes = sorted({WINDOW, *short})  # at most WINDOW of them
     own = F.least(F.size("iw"), F.lit(WINDOW))
@@ -97,42 +101,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = None
     for n in sizes:
         part = listed.where(F.col("own") == n).select(
-            "item_id", "own", "iw", F.posexplode_outer(F.expr(_windows("shapes", "iw", n))).alias("ipos", "h")
+            "item_id", "iid", "own", "iw", F.posexplode_outer(F.expr(_windows("shapes", "iw", n))).alias("ipos", "h")
         )
         index = part if index is None else index.unionByName(part)
     plain = F.size(F.filter(F.slice("iw", F.col("ipos") + 1, F.col("own")), lambda w: w >= "\x04"))
     index = index.withColumn("exact", plain < F.least(F.lit(PLAIN_WORDS), F.col("own"))).where("h is not null")
-    index = materialize(index.select("item_id", "ipos", "h", "own", "exact"), "item_windows")
+    index = materialize(index.select("item_id", "iid", "ipos", "h", "own", "exact"), "item_windows")
     few = index.count() <= BROADCAST_WINDOWS
+    slots = items.select("item_id", "iid", F.posexplode("iw").alias("ipos", "b")).where("b < '\x04'")
 
     named = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
-    shaped = spread(named).select("doc_id", canonical_words(F.col("text")).alias("dw")).select("doc_id", "dw", _shapes("dw").alias("shapes"))
+    row = ["doc_id", "tid"]  # tells rows that repeat a doc_id apart
+    named = named.withColumn("tid", F.xxhash64("text"))
+    shaped = spread(named).select(*row, canonical_words(F.col("text")).alias("dw")).select(*row, "dw", _shapes("dw").alias("shapes"))
     probes = None
     for n in sizes:
         # the outer form spares a filter that would compute every window twice
-        part = shaped.select("doc_id", F.posexplode_outer(F.expr(_windows("shapes", "dw", n))).alias("pos", "h"))
+        part = shaped.select(*row, F.posexplode_outer(F.expr(_windows("shapes", "dw", n))).alias("pos", "h"))
         probes = part if probes is None else probes.unionByName(part)
     hits = probes.join(F.broadcast(index) if few else index, "h")
-    lined = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), "own", "exact").agg(
-        F.array_sort(F.collect_set("ipos")).alias("at")
-    )
+    line = [*row, "item_id", "iid", "diagonal", "own", "exact"]
+    lined = hits.withColumn("diagonal", F.col("pos") - F.col("ipos")).groupBy(*line).agg(F.array_sort(F.collect_set("ipos")).alias("at"))
     lined = materialize(lined, "alignments")
-    held = named.join(lined.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = materialize(held, "met").select("doc_id", canonical_words(F.col("text")).alias("dw"))
-    met = lined.join(held, "doc_id").join(items, "item_id")
+
     spots = F.expr("array_distinct(flatten(transform(at, p -> sequence(p, p + own - 1))))")
-    pairs = F.expr(
-        "transform(filter(spots, i -> iw[i] < '\x04'), i -> named_struct('b', iw[i], 'd', dw[i + diagonal]))"
-    )
-    met = met.withColumn("spots", spots).withColumn("pairs", pairs)
-    fits = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.col("pairs.b")))
-    at = lambda kind: F.size(F.array_distinct(F.flatten(F.collect_set(F.when(kind, F.col("at")))))).cast("long")
+    spots = lined.select(*line, F.explode(spots).alias("ipos")).join(F.broadcast(slots) if few else slots, ["item_id", "iid", "ipos"])
+    spots = materialize(spots.withColumn("pos", F.col("ipos") + F.col("diagonal")), "slots")
+    asked = materialize(spots.groupBy(*row).agg(F.collect_set("pos").alias("asked")), "asked")
+    met = named.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, row)
+    values = met.select(*row, "asked", canonical_words(F.col("text")).alias("dw")).dropDuplicates(row)
+    values = values.select(*row, F.explode(F.transform("asked", lambda p: F.struct(p.alias("pos"), F.get("dw", p).alias("d")))).alias("v"))
+    pairs = spots.join(values.select(*row, "v.pos", "v.d"), [*row, "pos"])
+    # no more pairs than the item has placeholders
+    told = pairs.groupBy(*line).agg(F.collect_set(F.struct("b", "d")).alias("pairs"))
+    torn = told.where(F.size("pairs") > F.size(F.array_distinct("pairs.b"))).select(*line)
+    kept = lined.join(torn, line, "left_anti")
     # exact windows and templates are alignments of their own: copied values don't refute new ones elsewhere
-    per = met.where(fits).groupBy("doc_id", "item_id").agg(at(F.lit(True)).alias("windows"), at(~F.col("exact")).alias("templates"))
-    of = index.groupBy("item_id").agg(
-        F.countDistinct("ipos").alias("n_item_windows"), F.count_if(~F.col("exact")).alias("n_templates")
-    )
-    per = per.join(of, "item_id")
+    each = kept.select("doc_id", "item_id", "exact", F.explode("at").alias("ipos"), "iid").groupBy("doc_id", "item_id", "iid", "ipos")
+    each = each.agg(F.max(~F.col("exact")).alias("template"))
+    per = each.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if("template").alias("templates"))
+    of = index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_item_windows"), F.count_if(~F.col("exact")).alias("n_templates"))
+    per = per.join(F.broadcast(of) if few else of, "item_id")
     leaks = (F.col("windows") >= SHARE * F.col("n_item_windows")) | (F.col("windows") >= MANY)
     leaks = leaks | (F.col("templates") > 0) & (F.col("templates") >= SHARE * F.col("n_templates"))
     return per.where(leaks).select("doc_id", "item_id", "windows", "n_item_windows")

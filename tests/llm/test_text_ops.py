@@ -349,6 +349,88 @@ def test_decontamination_catches_items_of_numbers(spark):
     assert all(got[i, i][0] == got[i, i][1] for i in range(5)) and got[1, 1][0] > 0 and got[8, 4][0] < got[8, 4][1]
 
 
+def brute_leaks(docs, items):
+    """The rule of contaminated, spelled out over all windows of all rows."""
+    words = lambda t: [(w if w[0] >= "\x04" else w[0], w) for w in canon(t)]
+    mark = decontaminate
+    held, of = {}, {}
+    for item, text in items:
+        if item is None or not canon(text or ""):
+            continue
+        iw = words(text)
+        own = min(len(iw), mark.WINDOW)
+        for p in range(len(iw) - own + 1):
+            exact = sum(w[0] >= "\x04" for _, w in iw[p : p + own]) < min(mark.PLAIN_WORDS, own)
+            of.setdefault(item, {})[text, p] = exact
+        for doc, body in set(docs):
+            if doc is None:
+                continue
+            dw = words(body or "")
+            for diagonal in range(-len(iw), len(dw)):
+                for kind in (False, True):
+                    at = [p for p in range(len(iw) - own + 1) if of[item][text, p] == kind and 0 <= p + diagonal <= len(dw) - own
+                          and all(iw[p + j][kind] == dw[p + diagonal + j][kind] for j in range(own))]
+                    spots = {p + j for p in at for j in range(own) if iw[p + j][0] < "\x04"}
+                    pairs = {(iw[i][1], dw[i + diagonal][1]) for i in spots}
+                    if at and len(pairs) == len({b for b, _ in pairs}):
+                        for p in at:
+                            held.setdefault((doc, item), {}).setdefault((text, p), set()).add(kind)
+    out = {}
+    for (doc, item), found in held.items():
+        n, fresh = len(of[item]), sum(not e for e in of[item].values())
+        new = sum(False in k for k in found.values())
+        if len(found) >= mark.SHARE * n or len(found) >= mark.MANY or 0 < new >= mark.SHARE * fresh:
+            out[doc, item] = (len(found), n)
+    return out
+
+
+_CANON = {}
+
+
+def canon(text):
+    return _CANON[text]
+
+
+def leaks_of(spark, docs, items):
+    texts = [(t,) for t in {t or "" for _, t in docs + items}]
+    rows = spark.createDataFrame(texts, "text string").select("text", decontaminate.canonical_words(F.col("text")).alias("w")).collect()
+    _CANON.update({r.text: r.w for r in rows})
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    return {(x.doc_id, x.item_id): (x.windows, x.n_item_windows) for x in decontaminate.contaminated(d, b).collect()}
+
+
+def test_decontamination_is_brute_force(spark):
+    r = random.Random(12)
+    words = "the farmer sells apples and then Anna buys 7 km of red thread for 12 dollars or 3 kg".split()
+    sentence = lambda n: " ".join(r.choices(words, k=n))
+    items = [(i, sentence(r.choice([2, 5, 9, 14, 20]))) for i in range(12)] + [(12, None), (None, "x y"), (3, sentence(11))]
+    docs = []
+    for i in range(30):
+        _, text = r.choice(items[:12])
+        body = [w if r.random() > 0.08 else r.choice(["9", "Boris", "stone", w]) for w in text.split()]
+        docs.append((i, sentence(r.randint(0, 12)) + " " + " ".join(body) + " " + sentence(r.randint(0, 12))))
+    docs += [(3, docs[7][1]), (4, "short"), (4, docs[4][1]), (5, docs[5][1]), (None, items[1][1]), (77, None), (78, "")]
+    got = leaks_of(spark, docs, items)
+    assert got == brute_leaks(docs, [(i, t) for i, t in items])
+    assert got
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_decontamination_of_rows_that_repeat_a_doc_id(spark, turn):
+    item = "A farmer sells 12 apples to Anna and then 7 more apples to Boris so how many are left"
+    docs = [(1, "few words here " * 30 + item), (1, item), (1, "none of it"), (2, "none of it")][::turn]
+    assert set(leaks_of(spark, docs, [(5, item)])) == {(1, 5)}
+
+
+def test_decontamination_with_a_shared_window_and_a_hot_document(spark):
+    shared = "please answer the following question about the long story "
+    items = [(i, shared + f"who met word{i} near lake{i} with friend{i} of town{i} when moon{i} rose over hill{i}") for i in range(1000)]
+    hot = "start " + " and so on ".join(t for _, t in items[:300]) + " filler" * 5000
+    docs = [(1, hot), (2, shared), (3, items[400][1])] + [(10 + i, shared + "nothing else of it") for i in range(20)]
+    got = leaks_of(spark, docs, items)
+    assert set(got) == {(1, i) for i in range(300)} | {(3, 400)}
+
+
 # --- mixing -----------------------------------------------------------------------
 def test_pfair_keeps_within_one_block():
     parts = {"a": 37, "b": 3, "c": 60, "d": 11}
