@@ -16,11 +16,13 @@ _OWN_ROOT: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where unset."""
+    """The folder all executors share: spark.checkpoint.dir; where unset, a folder of our own if all runs on this machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="embertide-")
     return _OWN_ROOT[app]
@@ -88,23 +90,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _MIX)
-_PRIME = np.uint64(0x100000001B3)
-_POWERS = [np.ones(1, np.uint64)]
+#: Two independent families of word hashes: byte values and multiplier.
+_BYTES = [mix64(np.arange(1 + 1000 * k, 257 + 1000 * k, dtype=np.uint64) * _MIX) for k in range(2)]
+_PRIMES = (np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C55))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    if len(_POWERS[0]) < n:
-        grown = np.full(max(n, 4096), _PRIME, np.uint64)
+def _powers(n: int, family: int) -> np.ndarray:
+    if len(_POWERS[family]) < n:
+        grown = np.full(max(n, 4096), _PRIMES[family], np.uint64)
         grown[0] = 1
-        _POWERS[0] = np.multiply.accumulate(grown)
-    return _POWERS[0][:n]
+        _POWERS[family] = np.multiply.accumulate(grown)
+    return _POWERS[family][:n]
 
 
-def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
+def word_hashes(data: bytes, lower: bool = False, family: int = 0) -> np.ndarray:
     """A 64-bit hash of each word of UTF-8 data, words being runs of bytes that aren't ASCII white space.
 
-    lower folds A-Z. The hash of a word depends on its bytes alone.
+    lower folds A-Z. The hash of a word depends on its bytes and the family alone.
     """
     a = np.frombuffer(data, np.uint8)
     if not len(a):
@@ -120,7 +123,7 @@ def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
     chars = a[inside]
     first = np.cumsum(length) - length
     offset = np.arange(len(chars)) - np.repeat(first, length)
-    terms = _BYTE[chars] * _powers(int(length.max()))[offset]
+    terms = _BYTES[family][chars] * _powers(int(length.max()), family)[offset]
     return mix64(np.add.reduceat(terms, first) + length.astype(np.uint64) * _MIX)
 
 

@@ -22,16 +22,16 @@ PIECE_BYTES = 250_000
 _SPACES = (32, 9, 10, 11, 12, 13)
 
 
-def _hash_words(data: bytes) -> np.ndarray:
+def _hash_words(data: bytes, family: int = 0) -> np.ndarray:
     """word_hashes of a text, piece by piece, cut at white space."""
     if len(data) <= PIECE_BYTES:
-        return word_hashes(data)
+        return word_hashes(data, family=family)
     out, start = [], 0
     while start < len(data):
         end = min(len(data), start + PIECE_BYTES)
         while end < len(data) and data[end] not in _SPACES:
             end += 1
-        out.append(word_hashes(data[start:end]))
+        out.append(word_hashes(data[start:end], family=family))
         start = end
     return np.concatenate(out)
 
@@ -40,6 +40,7 @@ class Windows(NamedTuple):
     """Arrays over windows; lead: the first window of each group, group: the group of each window."""
 
     hashes: np.ndarray
+    checks: np.ndarray
     places: np.ndarray
     ids: np.ndarray
     starts: np.ndarray
@@ -81,11 +82,12 @@ class _Shard:
         return distinct, inverse, count > 1, indexed
 
     def candidates(self, hit: np.ndarray, sizes: np.ndarray):
-        """Windows that hold a block hit, by (bucket, hash, doc_id, start): hash, place, doc_id, start, bucket, and their group.
+        """Windows that hold a block hit, by (bucket, hash, check, doc_id, start), and their group.
 
-        A group is the windows of one hash; the first of it is where the shard has it earliest.
+        Hash and check are of independent families, so that together they tell windows apart by 128 bits. A group is the windows
+        of one such pair; the first of it is where the shard has it earliest.
         """
-        hashes, docs, starts, at = [], [], [], 0
+        hashes, checks, docs, starts, at = [], [], [], [], 0
         for d, n in enumerate(sizes):
             if not n:
                 continue
@@ -97,15 +99,22 @@ class _Shard:
             s = np.flatnonzero(total[WINDOW - BLOCK + 1 : WINDOW - BLOCK + 1 + last] > total[:last])
             if len(s):
                 hashes.append(rolling(self.words[d], WINDOW, seed=2)[s])
+                checks.append(rolling(_hash_words(self.data[d], family=1), WINDOW, seed=3)[s])
                 docs.append(np.full(len(s), d))
                 starts.append(s)
-        h, d, s = _cat(hashes, np.uint64), _cat(docs, np.int64), _cat(starts, np.int64)
+        h, c, d, s = _cat(hashes, np.uint64), _cat(checks, np.uint64), _cat(docs, np.int64), _cat(starts, np.int64)
         bucket, ids = mix64(h) % self.buckets, self.order[d]
-        order = np.lexsort((s, ids, h, bucket))
-        h, bucket = h[order], bucket[order]
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        return Windows(h, d[order], ids[order], s[order], bucket, np.flatnonzero(first), np.cumsum(first) - 1)
+        order = np.lexsort((s, ids, c, h, bucket))
+        h, c, bucket = h[order], c[order], bucket[order]
+        first = _firsts(h, c)
+        return Windows(h, c, d[order], ids[order], s[order], bucket, np.flatnonzero(first), np.cumsum(first) - 1)
+
+
+def _firsts(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Whether each of sorted (hash, check) pairs is the first of its kind."""
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    return first
 
 
 def _cat(parts: list[np.ndarray], kind) -> np.ndarray:
@@ -170,14 +179,14 @@ def _hits(shard: _Shard, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]
 
 def _offer_windows(buckets: int):
     def run(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["shard", "bucket", "hashes", "ids", "starts"]
+        columns = ["shard", "bucket", "hashes", "checks", "ids", "starts"]
         if not len(docs):
             return pd.DataFrame([], columns=columns)
         shard = _Shard(docs, buckets)
         w = shard.candidates(*_hits(shard, answers))
-        h, ids, s = w.hashes[w.lead], w.ids[w.lead], w.starts[w.lead].astype(np.int32)
+        h, c, ids, s = w.hashes[w.lead], w.checks[w.lead], w.ids[w.lead], w.starts[w.lead].astype(np.int32)
         name = int(docs["shard"].iloc[0])
-        rows = [(name, k, h[a:b].tobytes(), ids[a:b].tobytes(), s[a:b].tobytes()) for k, a, b in _pieces(w.buckets[w.lead])]
+        rows = [(name, k, h[a:b].tobytes(), c[a:b].tobytes(), ids[a:b].tobytes(), s[a:b].tobytes()) for k, a, b in _pieces(w.buckets[w.lead])]
         return pd.DataFrame(rows, columns=columns)
 
     return run
@@ -186,11 +195,11 @@ def _offer_windows(buckets: int):
 def _match_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each shard's distinct windows of a bucket: whether the first place of the words is in that shard."""
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
+    c = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["checks"]])
     d = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
     s = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["starts"]])
-    order = np.lexsort((s, d, h))
-    first = np.ones(len(h), bool)
-    first[1:] = h[order][1:] != h[order][:-1]
+    order = np.lexsort((s, d, c, h))
+    first = _firsts(h[order], c[order])
     lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
     earliest = np.zeros(len(h), bool)
     earliest[order] = (d[order] == d[lead]) & (s[order] == s[lead])
@@ -245,17 +254,19 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes when a window of WINDOW consecutive words over it has the same words as a
     window that starts earlier (smaller doc_id, or same doc_id and smaller start), judged on the input.
-    Words are runs without ASCII white space, unchanged. Texts are dealt by a hash of doc_id into shards. Each shard
+    Words are runs without ASCII white space, unchanged. Texts are dealt by a hash of doc_id and text into shards. Each shard
     offers the hashes of its reference blocks (every BLOCK words) and of all rolling windows of BLOCK words;
     buckets of hashes answer with one bit each, whether the value is a reference block that
-    occurs again. Around hits, blocks extend to windows of WINDOW words, whose 64-bit hashes
-    are compared by the earliest place each shard has; neighbouring repeats join to maximal spans. Two
-    windows count as equal when their 64-bit hashes are. No pair of copies is ever formed: a value counts once for a
-    shard, so a passage that all documents share costs what a rare one does.
+    occurs again. Around hits, blocks extend to windows of WINDOW words, which are compared by
+    two hashes of independent families, 128 bits in all, at the earliest place each shard has; neighbouring repeats join
+    to maximal spans. No pair of copies is ever formed: a value counts once for a
+    shard, so a passage that all documents share costs what a rare one does. A shard writes to a bucket only
+    where it has a value of it, so there are never more packets than distinct windows of shards.
 
     Null or empty texts, and texts under WINDOW words, keep all they have. Rows without doc_id come
-    after all others; rows that repeat a doc_id are the same document (equal windows at equal
-    starts keep each other). Other columns are ignored; an empty table gives an empty result.
+    after all others, as one document with those of doc_id 2^63 - 1; rows that repeat a doc_id are the same document (equal windows at equal
+    starts keep each other), whichever shards they are in. A text longer than a shard is a shard's worth of its own, hashed in pieces.
+    Other columns are ignored; an empty table gives an empty result.
     """
     # rows without doc_id come last in the order of documents
     doc_id = F.col("doc_id").cast("long")
@@ -265,13 +276,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     size = docs.select(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     shards = max(1, math.ceil(size / SHARD_BYTES))
     buckets = max(1, math.ceil(size / 6 / BUCKET_WINDOWS))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("ord"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("ord", "text"), F.lit(shards)).cast("int"))
     by_shard = lambda df: df.groupBy("shard")
     offered = by_shard(dealt).applyInPandas(_offer_blocks(buckets), "shard int, bucket int, vals binary, many binary, idx binary")
     answer = "shard int, kind int, bucket int, bits binary"
     hits = offered.groupBy("bucket").applyInPandas(_match_blocks, answer)
     windows = by_shard(dealt).cogroup(by_shard(hits)).applyInPandas(
-        _offer_windows(buckets), "shard int, bucket int, hashes binary, ids binary, starts binary"
+        _offer_windows(buckets), "shard int, bucket int, hashes binary, checks binary, ids binary, starts binary"
     )
     late = windows.groupBy("bucket").applyInPandas(_match_windows, answer)
     return by_shard(dealt).cogroup(by_shard(hits.unionByName(late))).applyInPandas(

@@ -79,6 +79,30 @@ def test_substring_dedup_edges(spark):
     assert got == [(-1, 30), (5, 0), (5, 0), (7, 30)]
 
 
+def test_substring_dedup_spreads_nameless_rows_and_reads_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", 500)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(None, f"n{i} " * 30 + passage + f" m{i}") for i in range(40)] + [(2, passage + " end")]
+    rows += [(3, " ".join(f"v{i}" for i in range(3000)) + " " + passage), (None, None), (None, "")]  # longer than a shard
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.cut_repeats(df).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id} == {2: 0, 3: 25}
+    # n0 n0 ... repeats within its own text: 30 words, of which windows 2 to 11 repeat the first
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [0, 0] + [25 + 29] * 40
+
+
+def test_windows_are_told_apart_by_128_bits(monkeypatch):
+    import numpy as np
+
+    a, b = "one two three".encode(), "one two four".encode()
+    for family in (0, 1):
+        x, y = substring_dedup.word_hashes(a, family=family), substring_dedup.word_hashes(b, family=family)
+        assert (x[:2] == y[:2]).all() and x[2] != y[2]
+    assert not np.intersect1d(substring_dedup.word_hashes(a), substring_dedup.word_hashes(a, family=1)).size
+
+
 def brute_near(rows):
     sets = {}
     for i, t in rows:
