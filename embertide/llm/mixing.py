@@ -9,6 +9,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from embertide.llm.common import materialize
+
 #: Rows in a block, the unit that is scheduled.
 BLOCK_ROWS = 64
 #: Rows that meet in one sort; a source is cut into as many buckets as it needs.
@@ -17,6 +19,8 @@ BUCKET_ROWS = 4096
 PARTS = 1000
 #: Sources at most: they are named by a weight table, which the driver holds.
 MAX_SOURCES = 2000
+#: Rows of the schedule broadcast at most (about 60 bytes each); beyond that the join shuffles.
+BROADCAST_ROWS = 200_000
 #: Without given weights, a source weighs its row count to this power.
 TEMPERATURE = 0.7
 
@@ -90,12 +94,13 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int =
     No row is dropped or repeated. Weights must name every source; without
     them a source weighs its row count to the power TEMPERATURE. Null source is a source of
     its own (named null in a weight table by the empty string); rows of a source are
-    in order of a hash of seed and doc_id, ties by doc_id; repeated rows each count.
-    An empty table gives an empty result. Other columns are ignored.
+    in order of a hash of seed and doc_id, ties by doc_id; repeated rows each count and stand together. Rows without doc_id are
+    dealt by their place in the input. Sources of equal weight and deadline go in order of name. A weight of 0 counts as the least
+    part, one of PARTS. An empty table gives an empty result. Other columns are ignored, texts are not read.
 
     A source is cut by hash into buckets of about BUCKET_ROWS rows, so a hot source sorts in
-    many tasks; only bucket sizes are summed along a source. Driver and broadcasts hold the
-    weight table and one period for each phase, whatever the number of rows.
+    many tasks; only bucket sizes are summed along a source. The driver holds the
+    weight table and one period for each phase, whatever the number of rows; the schedule is broadcast up to BROADCAST_ROWS.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("src"))
@@ -110,22 +115,23 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: int =
     phases, offsets = plan_phases({s: -(-n // block_rows) for s, n in sizes.items()}, parts)
 
     cut = spark.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in sizes.items()], "src string, buckets long")
-    rows = rows.join(F.broadcast(cut), "src").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    rows = rows.withColumn("bucket", F.expr("shiftright(shiftrightunsigned(h, 33) * buckets, 31)"))
-    rows = rows.withColumn("rn", F.expr("row_number() over (partition by src, bucket order by h, doc_id)"))
-    tally = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("src")).join(F.broadcast(cut), "src")
-    tally = tally.withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
-    tally = tally.withColumn("bucket", F.expr("shiftright(shiftrightunsigned(h, 33) * buckets, 31)"))
-    tally = tally.groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    spread = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", spread)).join(F.broadcast(cut), "src")
+    rows = rows.withColumn("bucket", F.expr("shiftright(shiftrightunsigned(h, 33) * buckets, 31)")).drop("buckets")
+    rows = materialize(rows, "dealt")  # as the place of a row in the input may differ in another scan
+    tally = rows.groupBy("src", "bucket").agg(F.count(F.lit(1)).alias("n"))
     tally = tally.selectExpr("src", "bucket", "sum(n) over (partition by src order by bucket) - n as before")
+    rows = rows.withColumn("rn", F.expr("row_number() over (partition by src, bucket order by h, doc_id)"))
     ranked = rows.join(tally, ["src", "bucket"]).withColumn("rank", F.col("before") + F.col("rn") - 1)
     ranked = ranked.withColumns({
         "block": F.expr(f"rank div {block_rows}"), "pos": (F.col("rank") % block_rows).cast("long")
     })
     phase = spark.createDataFrame(phases, "src string, phase int, lo long, hi long, parts long, period long, start long")
     place = spark.createDataFrame(offsets, "src string, phase int, r long, at long")
-    ranked = ranked.join(F.broadcast(phase), "src").where("block >= lo and block < hi")
-    ranked = ranked.withColumn("r", F.expr("(block - lo) % parts")).join(F.broadcast(place), ["src", "phase", "r"])
+    if len(phases) + len(offsets) <= BROADCAST_ROWS:
+        phase, place = F.broadcast(phase), F.broadcast(place)
+    ranked = ranked.join(phase, "src").where("block >= lo and block < hi")
+    ranked = ranked.withColumn("r", F.expr("(block - lo) % parts")).join(place, ["src", "phase", "r"])
     slot = F.expr("start + (block - lo) div parts * period + at")
     return ranked.select("doc_id", "source", "block", slot.alias("slot"), "pos")
 
