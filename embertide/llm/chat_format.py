@@ -64,21 +64,23 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """One row per conv_id: formatted text, the turns read back from it, and the loss mask.
 
     Turns go in order of turn (null first), ties by role then text, repeated rows each
-    counting. Null text or role is empty; all rows without conv_id form one conversation.
+    counting. Null text or role is empty; a row without conv_id is a conversation of its own, as nothing says which rows
+    belong together. Other columns are ignored; an empty table gives an empty result; texts of any length are read whole.
     loss_spans holds the code-point span of each assistant text in `formatted`
     (start, end exclusive, escapes included). round_trip says that the parse equals the source.
     A conversation is one record of the training set and so is held whole by one row;
     nothing else is gathered.
     """
-    rows = format_turns(conversations.select("conv_id", "turn", "role", "text"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = format_turns(conversations.select("conv_id", "turn", "role", "text").withColumn("__alone", alone))
     rows = rows.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv_id", "__alone").orderBy("turn", "role", "text")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({
         "nth": F.row_number().over(order),
         "start": F.coalesce(F.sum(F.length("rendered")).over(before), F.lit(0)),
     })
-    convs = rows.groupBy("conv_id").agg(
+    convs = rows.groupBy("conv_id", "__alone").agg(
         F.sort_array(F.collect_list(F.struct("nth", "role", "text", "rendered", "start"))).alias("src")
     )
     convs = convs.withColumn("formatted", F.array_join(F.transform("src", lambda t: t.rendered), ""))
@@ -92,14 +94,16 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
             (t.start + opening).alias("start"), (t.start + F.length(t.rendered) - len(CLOSE)).alias("end")
         ),
     )
-    return convs.withColumns({"round_trip": F.col("turns") == source, "loss_spans": spans}).drop("src")
+    return convs.withColumns({"round_trip": F.col("turns") == source, "loss_spans": spans}).drop("src", "__alone")
 
 
 def digests(convs: DataFrame) -> DataFrame:
-    """The contract's digest columns, all read back from formatted text and loss spans."""
+    """The contract's digest columns, all read back from formatted text and loss spans; an error if a conversation doesn't come back."""
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     masked = F.expr("transform(loss_spans, s -> substring(formatted, cast(s.start + 1 as int), cast(s.end - s.start as int)))")
-    convs = convs.withColumn("loss", F.array_join(F.transform(masked, _unescape), ""))
+    said = F.array_join(F.transform(masked, _unescape), "")
+    broken = F.raise_error(F.concat(F.lit("conversation doesn't read back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    convs = convs.withColumn("loss", F.when(F.col("round_trip"), said).otherwise(broken.cast("string")))
     return convs.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -125,9 +129,10 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok', NULL
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok', NULL),
 r AS (
   SELECT *, CASE WHEN contains(text, '\') OR contains(text, '</turn>') OR contains(text, '###')
                    OR contains(role, '\') OR contains(role, ': ')
@@ -141,5 +146,5 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length(rendered))::BIGINT AS formatted_chars
-FROM r GROUP BY conv_id
+FROM r GROUP BY conv_id, alone
 """
