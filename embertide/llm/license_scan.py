@@ -95,6 +95,11 @@ CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "w
 GAP_LINES = 2
 #: Share of a wording's words that may be missing.
 MISSING = 0.1
+#: Words of a block aligned at a time, in lengths of the wording, and how far apart such windows start. A match that can be confirmed
+#: spans at most 1.2 lengths and a word, so one of them holds it whole.
+WINDOW_LENGTHS, STEP_LENGTHS = 3, 1
+#: Characters of a block whose licences a worker remembers, at most.
+REMEMBERED_CHARS = 5_000
 #: First words of a long grant. A reservation right before them is the heading of that licence.
 OPENING = 10
 _WORD = re.compile(r"[^\W_]+")
@@ -134,6 +139,17 @@ def blocks_of(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
+def _differences(block: list[str], wording: list[str]) -> Iterator[tuple[int, int, bool]]:
+    """wording_difference with each window of the block that holds enough words of the wording; linear in the block."""
+    n, wide = len(wording), max(WINDOW_LENGTHS * len(wording), len(wording) + 20)
+    own, telling = Counter(wording), _telling(wording)
+    for start in range(0, max(1, len(block) - wide + STEP_LENGTHS * n), STEP_LENGTHS * n):
+        part = block[start : start + wide]
+        held = Counter(part)
+        if telling <= held.keys() and (own - held).total() <= MISSING * n:
+            yield wording_difference(part, wording)
+
+
 def _telling(words: list[str]) -> set[str]:
     return {w for w in words if w in _TELLING or any(c.isdigit() for c in w)}
 
@@ -189,9 +205,9 @@ def scan_block(block: str) -> list[tuple[str, float, int, int]]:
     for gain, name, words in ranked:
         if not _telling(words) <= held.keys() or (Counter(words) - held).total() > MISSING * len(words):
             continue
-        missing, inserted, told = wording_difference(bare if words == reserved else have, words)
-        if told and missing <= MISSING * len(words) and inserted <= max(1, MISSING * len(words)):
-            out.append((name, round(gain, 4), missing, inserted, words))
+        fits = [d[:2] for d in _differences(bare if words == reserved else have, words) if d[2] and d[0] <= MISSING * len(words) and d[1] <= max(1, MISSING * len(words))]
+        if fits:
+            out.append((name, round(gain, 4), *min(fits, key=lambda d: (sum(d), d)), words))
     best: dict[str, tuple] = {}
     for found in out:
         name = found[0]
@@ -218,11 +234,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, end in blocks_of(text) if text else ():
                 n += 1
                 block = text[start:end]
-                if block not in remembered:
+                found = remembered.get(block)
+                if found is None:
+                    found = scan_block(block)
                     if len(remembered) > 5000:
                         remembered.clear()
-                    remembered[block] = scan_block(block)
-                own += [dict(zip(("license", "start", "end", "reduction", "missing", "inserted"), (name, start, end, *rest), strict=True)) for name, *rest in remembered[block]]
+                    if len(block) <= REMEMBERED_CHARS:
+                        remembered[block] = found
+                own += [dict(zip(("license", "start", "end", "reduction", "missing", "inserted"), (name, start, end, *rest), strict=True)) for name, *rest in found]
             hits.append(own)
             n_blocks.append(n)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_blocks, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_blocks", "hits"])
@@ -232,8 +251,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_blocks (candidates), hits (license, start, end, reduction, missing, inserted).
 
     Offsets are code points of the block. Null and empty texts and texts without a cue have no blocks; a row without doc_id
-    is scanned like any other; repeated rows repeat; other columns are ignored. Only texts with a cue
-    leave the JVM. A row's work is on its own text, block by block.
+    is scanned like any other; repeated rows repeat; other columns are ignored; an empty table gives an empty result.
+    Licences that fit a block equally well go by compression gain, then name. Only texts with a cue
+    leave the JVM. A row's work is on its own text, block by block; a long block (one line may be a whole text) is aligned
+    window by window, in time linear in its length.
     """
     cue = F.lower(text_or_empty()).rlike("|".join(CUES))
     rows = spread(docs.select("doc_id", F.col("text")))

@@ -301,17 +301,66 @@ def test_plain_reservation_is_proprietary():
     assert found("not all the rights that were reserved") == set()
 
 
+def brute_licenses(block):
+    """The rule of scan_block without ranking, prefilter or memory: every wording against every stretch of the block."""
+    from difflib import SequenceMatcher
+
+    have, best = license_scan.words_of(block), {}
+    reserved = license_scan.words_of("All rights reserved.")
+    for name, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            own = license_scan.words_of(text)
+            words = license_scan._without_headings(have) if own == reserved else have
+            for start in range(0, max(1, len(words) - len(own) + 1)):
+                part = words[start : start + len(own) + max(1, len(own) // 5)]
+                kept = [m for m in SequenceMatcher(None, part, own, autojunk=False).get_matching_blocks() if m.size]
+                if not kept:
+                    continue
+                same, span = sum(m.size for m in kept), part[kept[0].a : kept[-1].a + kept[-1].size]
+                if len(own) - same <= 0.1 * len(own) and len(span) - same <= max(1, 0.1 * len(own)) and license_scan._telling(own) == license_scan._telling(span):
+                    if len(own) - same < len(own) and same > len(best.get(name, ())):
+                        best[name] = own
+    return {n for n in best if not any(license_scan._within(best[n], best[m]) for m in best if m != n)}
+
+
+def test_licenses_are_brute_force():
+    r = random.Random(11)
+    every = [text for texts in license_scan.TEMPLATES.values() for text in texts]
+    filler = "river stone walks quietly under license of the green copyright".split()
+    for _ in range(60):
+        parts = []
+        for text in r.sample(every, r.randint(0, 3)):
+            words = text.split()
+            for _ in range(r.choice([0, 0, 1, len(words) // 12, len(words) // 6])):
+                words[r.randrange(len(words))] = r.choice(filler)
+            parts.append(" ".join(words))
+            parts.append(" ".join(r.choices(filler, k=r.randint(0, 60))))
+        block = "\n".join(parts) or "license"
+        assert {f[0] for f in license_scan.scan_block(block)} == brute_licenses(block), block
+
+
+def test_license_edges(spark):
+    t = license_scan.TEMPLATES
+    long = "license " + "word and other words " * 100_000 + t["MIT"][3] + " more words " * 100_000
+    rows = [(1, long), (None, "SPDX-License-Identifier: MIT"), (2, "SPDX-License-Identifier: MIT"), (2, "SPDX-License-Identifier: MIT")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, [h.license for h in r.hits]) for r in license_scan.scan_licenses(df).collect())
+    assert got == [(-1, ["MIT"]), (1, ["MIT"]), (2, ["MIT"]), (2, ["MIT"])]
+    assert license_scan.scan_licenses(df.limit(0)).collect() == []
+
+
 # --- chat -----------------------------------------------------------------------
 def test_chat_round_trip(spark):
     r = random.Random(6)
     pieces = ["\\", "</turn>", "### ", "Assistant: ", ": ", "\n", "a", "é", "</", "turn>", "#", "\\\\", " "]
     rows = [(c, t, r.choice(["user", "assistant", "a: b", "x\\", None, ""]), r.choice([None, "".join(r.choices(pieces, k=r.randint(0, 8)))])) for c in range(120) for t in range(r.randint(1, 5))]
-    rows += [(None, 0, "user", "lost"), (500, None, "assistant", "x"), (500, None, "assistant", "x")]
+    rows += [(None, 0, "user", "lost"), (None, 1, "user", "lost"), (500, None, "assistant", "x"), (500, None, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    convs = chat_format.format_conversations(df)
+    convs = chat_format.format_conversations(df.withColumn("src", F.lit("clash")).withColumn("rendered", F.lit(1)))
     assert convs.where("not round_trip").count() == 0
     got = {x.conv_id: x for x in chat_format.digests(convs).collect()}
-    for c in {x[0] for x in rows}:
+    assert convs.where("conv_id is null").count() == 2  # each a conversation of its own
+    for c in {x[0] for x in rows} - {None}:
         own = sorted(((x[1] is not None, x[1] or 0, x[2] or "", x[3] or "") for x in rows if x[0] == c))
         said = "".join(x[3] for x in own if x[2] == "assistant")
         whole = "".join(f"{x[2]}\n{x[3]}\n" for x in own)
@@ -319,6 +368,16 @@ def test_chat_round_trip(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), sha256(said.encode()).hexdigest())
 
 
+def test_chat_refuses_what_does_not_read_back(spark):
+    df = spark.createDataFrame([(1, 0, "user", "x " * 300_000), (1, 1, "assistant", "y")], "conv_id long, turn long, role string, text string")
+    convs = chat_format.format_conversations(df)
+    (row,) = chat_format.digests(convs).collect()
+    assert (row.n_turns, row.loss_chars) == (2, 1)
+    with pytest.raises(Exception, match="doesn't read back: 1"):
+        chat_format.digests(convs.withColumn("round_trip", F.lit(False))).collect()
+    assert chat_format.digests(chat_format.format_conversations(df.limit(0))).collect() == []
+
+
 # --- decontamination --------------------------------------------------------------
 def test_decontamination_catches_copies_and_new_parameters(spark):
     item = "A farmer sells 12 apples to Anna and then 7 more apples to Boris so how many kg of the 12 apples does the farmer have left now"
@@ -458,3 +517,52 @@ def test_mix_is_whole_and_fair(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).collect() == []
     with pytest.raises(ValueError, match="without a weight"):
         mixing.mix(docs, {"hot": 1.0})
+
+
+def brute_mix(rows, parts, block_rows):
+    """Slot by slot: of the sources whose next block is released, the one of the earliest deadline, then the least name."""
+    left = {s: -(-n // block_rows) for s, n in rows.items() if n}
+    done, order = dict.fromkeys(rows, 0), []
+    while left:
+        total, k = sum(parts[s] for s in left), dict.fromkeys(left, 0)
+        ended, now = False, 0
+        while not ended:
+            ready = [(-(-(k[s] + 1) * total // parts[s]), s) for s in left if k[s] * total // parts[s] <= now and k[s] < left[s]]
+            deadline, s = min(ready)
+            assert now < deadline
+            order.append((s, done[s] + k[s]))
+            k[s] += 1
+            now += 1
+            ended = k[s] == left[s]
+        for s, n in k.items():
+            done[s] += n
+            left[s] -= n
+        left = {s: n for s, n in left.items() if n}
+    return order
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_mix_is_the_schedule_slot_by_slot(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", limit)
+    sizes = {"a": 130, "b": 130, "c": 57, "d": 1, "": 23}
+    weights = {"a": 0.3, "b": 0.3, "c": 0.37, "d": 0.0, "": 0.03}  # ties, and a weight of 0
+    rows = [(i, s or None) for s, n in sizes.items() for i in range(n)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=4).collect()
+    order = brute_mix(sizes, mixing.to_parts(weights), 4)
+    assert {(x.slot, x.source or "", x.block) for x in got} == {(t, s, b) for t, (s, b) in enumerate(order)}
+
+
+def test_mix_spreads_rows_without_doc_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    seen = {}
+    write = mixing.materialize
+
+    def kept(df, label):
+        seen[label] = write(df, label)
+        return seen[label]
+
+    monkeypatch.setattr(mixing, "materialize", kept)
+    docs = spark.createDataFrame([(None, "hot")] * 1000, "doc_id long, source string")
+    got = mixing.mix(docs, block_rows=4).collect()
+    assert len({(x.slot, x.pos) for x in got}) == 1000
+    assert seen["dealt"].groupBy("bucket").count().agg({"count": "max"}).first()[0] < 150
