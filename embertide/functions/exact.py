@@ -15,23 +15,24 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Personalisation of each hash domain (fixed values).
-DRAW = b"reservoir" + bytes(7)
+#: Domain of the keyed draws made here. Draws of a log made under another domain are recomputed by giving that (`domain`).
+DRAW = b"embertide-draws" + bytes(1)
+#: Personalisation of the other hash domains (fixed values).
 CONTENT = b"rollout-content" + bytes(1)
 CHAIN = b"attest" + bytes(10)
 
 
-def keyed_draw(n: int, seed: int, buffer_id: int, counter: int) -> int:
+def keyed_draw(n: int, seed: int, buffer_id: int, counter: int, domain: bytes = DRAW) -> int:
     """A uniform integer below n that depends on its arguments alone, by rejection."""
     if not 0 < n < 1 << 64:
         raise ValueError("n must be in 1 .. 2**64 - 1")
     if n == 1:
         return 0
     fields = (x.to_bytes(8, "big") for x in (seed, buffer_id, counter))
-    key = blake2b(b"\xff".join(fields), digest_size=32, person=DRAW).digest()
+    key = blake2b(b"\xff".join(fields), digest_size=32, person=domain).digest()
     bound, block = (1 << 256) // n * n, 0
     while True:
-        value = int.from_bytes(blake2b(key + block.to_bytes(8, "big"), digest_size=32, person=DRAW).digest(), "big")
+        value = int.from_bytes(blake2b(key + block.to_bytes(8, "big"), digest_size=32, person=domain).digest(), "big")
         if value < bound:
             return value % n
         block += 1
@@ -40,12 +41,12 @@ def keyed_draw(n: int, seed: int, buffer_id: int, counter: int) -> int:
 _RATIONAL = T.StructType([T.StructField("num", T.StringType()), T.StructField("den", T.StringType()), T.StructField("f", T.DoubleType())])
 
 
-def draw_udf(seed: int, buffer_id: int = 0):
+def draw_udf(seed: int, buffer_id: int = 0, domain: bytes = DRAW):
     """Column function (n, counter) -> DECIMAL(20,0)."""
 
     @F.pandas_udf(T.DecimalType(20, 0))
     def draw(n: pd.Series, counter: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None else decimal.Decimal(keyed_draw(int(a), seed, buffer_id, int(c))) for a, c in zip(n, counter, strict=True)])
+        return pd.Series([None if a is None else decimal.Decimal(keyed_draw(int(a), seed, buffer_id, int(c), domain)) for a, c in zip(n, counter, strict=True)])
 
     return draw
 

@@ -16,6 +16,7 @@ class Policy:
     ess_floor: float | None = None
     mass_cap: float | None = None
     max_log_ratio: float | None = None
+    max_declines_per_step: int | None = None
 
 
 def decide(draws: DataFrame, policy: Policy, step: str = "step") -> DataFrame:
@@ -25,28 +26,27 @@ def decide(draws: DataFrame, policy: Policy, step: str = "step") -> DataFrame:
     share of the kept weights is under the floor, the largest |ratio| goes (ties by draw); a group whose mass
     sum w exp(ratio) exceeds (1 + cap) n is scaled to it; what is kept with |ratio| over the limit drifts.
 
-    The victim loop is one window: with the kept rows in victim order, dropping the first i
-    leaves suffix sums of w and w**2, and the least i whose suffix meets the floor is the count.
-    Weights are decimals of 12 places, so sums don't depend on order.
+    The victim loop is one window: from the last victim back, sums of w and w**2 run over what is left before each drop, and
+    the most rows that meet the floor stay. Weights are decimals of 12 places, so sums don't depend on order.
+    All windows share one partitioning by step. A step with more declines than max_declines_per_step is an error.
     """
     ratio = F.col("ratio")
     ok = ratio.isNotNull() & ~F.isnan(ratio) & (F.abs(ratio) < float("inf"))
-    rows = draws.withColumn("reason", F.when(~ok, F.lit("drift")))
+    rows = draws.repartition(step).withColumn("reason", F.when(~ok, F.lit("drift")))
     if policy.max_age is not None:
         rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("age") > policy.max_age), "age").otherwise(F.col("reason")))
     if policy.ess_floor is not None:
         keep = F.col("reason").isNull()
-        order = Window.partitionBy(step, keep).orderBy(F.desc(F.abs("ratio")), "draw")
-        rest = order.rowsBetween(0, Window.unboundedFollowing)
+        back = Window.partitionBy(step, keep).orderBy(F.abs("ratio"), F.desc("draw"))
+        rest = back.rowsBetween(Window.unboundedPreceding, 0)
         w = F.col("w").cast("decimal(20,12)")
         rows = rows.withColumns({
-            "__s": F.sum(w).over(rest).cast("double"), "__q": F.sum((w * w).cast("decimal(30,18)")).over(rest).cast("double"),
-            "__left": F.count(F.lit(1)).over(rest), "__i": F.row_number().over(order),
+            "__s": F.sum(w).over(rest).cast("double"), "__q": F.sum((w * w).cast("decimal(30,18)")).over(rest).cast("double"), "__left": F.row_number().over(back),
         })
         fine = (F.col("__left") <= 1) | (F.col("__s") * F.col("__s") >= policy.ess_floor * F.col("__left") * F.col("__q"))
-        stop = F.min(F.when(fine, F.col("__i"))).over(Window.partitionBy(step, keep))
-        rows = rows.withColumn("reason", F.when(keep & (F.col("__i") < stop), "ess").otherwise(F.col("reason")))
-        rows = rows.drop("__s", "__q", "__left", "__i")
+        most = F.max(F.when(fine, F.col("__left"))).over(Window.partitionBy(step, keep))
+        rows = rows.withColumn("reason", F.when(keep & (F.col("__left") > most), "ess").otherwise(F.col("reason")))
+        rows = rows.drop("__s", "__q", "__left")
     scale = F.lit(1.0)
     if policy.mass_cap is not None:
         kept = F.col("reason").isNull()
@@ -59,9 +59,26 @@ def decide(draws: DataFrame, policy: Policy, step: str = "step") -> DataFrame:
         far = F.col("reason").isNull() & (F.abs("ratio") > policy.max_log_ratio)
         rows = rows.withColumn("scale", F.when(far, F.lit(1.0)).otherwise(F.col("scale")))
         rows = rows.withColumn("reason", F.when(far, F.lit("drift")).otherwise(F.col("reason")))
+    if policy.max_declines_per_step is not None:
+        n = F.count("reason").over(Window.partitionBy(step))
+        broken = F.raise_error(F.concat(n.cast("string"), F.lit(f" declines in a step exceed {policy.max_declines_per_step}"))).cast("string")
+        rows = rows.withColumn("reason", F.when(n > policy.max_declines_per_step, broken).otherwise(F.col("reason")))
     return rows
 
 
+def refused_steps(decisions: DataFrame, most: int, step: str = "step") -> DataFrame:
+    """Steps with more than `most` declines, which max_declines_per_step refuses."""
+    return decisions.groupBy(step).agg(F.count("reason").alias("declined"), F.count(F.lit(1)).alias("n")).where(F.col("declined") > most)
+
+
+def place(decisions: DataFrame, reward: Column) -> DataFrame:
+    """What a step writes: kept draws with the advantage reward * w * scale, declined ones with none; rescaled: kept with scale < 1."""
+    kept = F.col("reason").isNull()
+    return decisions.withColumns({
+        "kept": kept, "advantage": F.when(kept, reward * (F.col("w") * F.col("scale"))), "rescaled": kept & (F.col("scale") < 1),
+    })
+
+
 def evictions(decisions: DataFrame, slot: str = "slot") -> DataFrame:
     """Slots all of whose draws were declined for drift or age; drift names the reason if any draw drifted."""
     bad = F.coalesce(F.col("reason").isin("drift", "age"), F.lit(False))

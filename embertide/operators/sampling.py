@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertide.functions.decay import Decay, expired, leaf, quantize
-from embertide.operators.scan import running_sum
+from embertide.operators.scan import ROWS, blocked, running_sum
 
 
 def live_state(rollouts: DataFrame, decay: Decay, now: int, score: Column, order: str = "event_id") -> DataFrame:
@@ -31,19 +31,38 @@ def totals(state: DataFrame) -> DataFrame:
     )
 
 
-def locate(scanned: DataFrame, draws: DataFrame, bands: int = 1024) -> DataFrame:
-    """Inverse-CDF join: the slot with cum_after - leaf <= draw < cum_after, for each draw (column draw).
+def _within(intervals: DataFrame, points: DataFrame, point: str, keys: list[str], bands: int) -> DataFrame:
+    """Range join on equal keys: for each point the interval with lo <= point < hi, both sides carrying the keys' total.
 
-    Slots and draws meet by band, an equal share of the total: a slot is listed in each band its interval
-    touches (slots + bands rows in all), so the range condition rides on an equi-join.
+    An interval is listed in each of `bands` equal shares of the total that it touches (its rows + bands in all, for
+    each key), so the range condition rides on an equi-join.
     """
-    total = scanned.agg(F.max("cum_after").alias("__total"))  # one row
-    width = F.ceil(F.col("__total") / bands).cast("decimal(38,0)")
-    slots = scanned.where("leaf > 0").crossJoin(F.broadcast(total.withColumn("__width", width)))
-    lo = F.floor((F.col("cum_after") - F.col("leaf")) / F.col("__width")).cast("long")
-    hi = F.floor((F.col("cum_after") - 1) / F.col("__width")).cast("long")
-    slots = slots.withColumn("__band", F.explode(F.sequence(lo, hi)))
-    asked = draws.crossJoin(F.broadcast(total.withColumn("__width", width))).withColumn("__band", F.floor(F.col("draw") / F.col("__width")).cast("long"))
-    asked = asked.select(*draws.columns, "__band")
-    found = slots.join(asked, "__band").where((F.col("cum_after") - F.col("leaf") <= F.col("draw")) & (F.col("draw") < F.col("cum_after")))
-    return found.drop("__band", "__total", "__width")
+    band = lambda x: F.floor(x / F.ceil(F.col("total") / bands).cast("decimal(38,0)")).cast("long")
+    listed = intervals.withColumn("__band", F.explode(F.sequence(band(F.col("lo")), band(F.col("hi") - 1)))).drop("total")
+    asked = points.withColumn("__band", band(F.col(point))).drop("total")
+    return listed.join(asked, [*keys, "__band"]).where((F.col("lo") <= F.col(point)) & (F.col(point) < F.col("hi"))).drop("__band")
+
+
+def locate(state: DataFrame, draws: DataFrame, order: str = "slot", bands: int = 1024, rows: int = ROWS) -> DataFrame:
+    """Inverse-CDF join: the entry whose interval of the running sum of leaf holds the draw, for each draw (column draw).
+
+    Draws meet the sums of blocks first; only blocks that are hit are scanned, and there draws and entries meet
+    by bands of the block. The table itself is summed map-side, not shuffled.
+    """
+    wide = "decimal(38,0)"
+    held, blocks = blocked(state.where("leaf > 0"), order, "__block", rows)
+    asked = draws.withColumn("__rest", F.col("draw").cast(wide))
+    if blocks > 1:
+        sums = held.groupBy("__block").agg(F.sum("leaf").cast(wide).alias("__sum"))
+        sums = running_sum(sums, "__block", F.col("__sum"), "hi").withColumn("lo", (F.col("hi") - F.col("__sum")).cast(wide))
+        top = F.broadcast(sums.agg(F.max("hi").alias("total")))  # one row
+        met = _within(sums.crossJoin(top), asked.crossJoin(top), "__rest", [], bands)
+        asked = met.select(*draws.columns, "__block", (F.col("__rest") - F.col("lo")).cast(wide).alias("__rest"), F.col("__sum").alias("total"))
+        held = held.join(asked.select("__block").distinct(), "__block", "left_semi")
+    own = Window.partitionBy("__block")
+    held = held.withColumn("hi", F.sum("leaf").over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).cast(wide))
+    held = held.withColumns({"lo": (F.col("hi") - F.col("leaf")).cast(wide), "total": F.sum("leaf").over(own).cast(wide)})
+    if blocks == 1:
+        top = F.broadcast(state.agg(F.sum("leaf").cast(wide).alias("total")))  # one row
+        asked = asked.crossJoin(top).withColumn("__block", F.lit(0).cast("long"))
+    return _within(held, asked, "__rest", ["__block"], bands).drop("__block", "__rest", "lo", "hi")

@@ -2,29 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Order values in a block of a scan.
-BLOCK = 8192
+#: Rows in a block of a scan, about, and block sums that meet in one task.
+ROWS, TOP = 100_000, 100_000
+
+
+def blocked(df: DataFrame, order: str, name: str, rows: int = ROWS) -> tuple[DataFrame, int]:
+    """df with `name`, the number of an equal range of its order values that holds about `rows` rows, and how many blocks there are.
+
+    The width follows from count, least and greatest order, so a sparse order doesn't make a block of each row.
+    """
+    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(order).cast("long"), F.max(order).cast("long")).first()
+    if not n or n <= rows:
+        return df.withColumn(name, F.lit(0).cast("long")), 1
+    width = max(1, -(-(hi - lo + 1) * rows // n))
+    return df.withColumn(name, F.expr(f"({order} - {lo}L) div {width}L").cast("long")), (hi - lo) // width + 1
 
 
-def running_sum(df: DataFrame, order: str, value: Column, out: str, block: int = BLOCK, kind: str = "decimal(38,0)") -> DataFrame:
-    """df with `out` = sum of value over all rows with a smaller or equal order.
+def running_sum(df: DataFrame, order: str, value: Column, out: str, rows: int = ROWS, kind: str = "decimal(38,0)", keys: Sequence[str] = ()) -> DataFrame:
+    """df with `out` = sum of value over all rows (of the same keys) with a smaller or equal order.
 
-    order is a whole number without ties. Rows are summed inside blocks of its range in parallel; only
-    one sum per block passes through the single-partition window, and joins back by block.
+    order is a whole number without ties. Rows are summed inside blocks in parallel; the sums of blocks are scanned by the same
+    function while there are more than TOP, so no task sees more than TOP sums or about `rows` rows.
     """
-    held = df.withColumns({"__block": F.expr(f"{order} div {block}"), "__value": value.cast(kind)})
-    sums = held.groupBy("__block").agg(F.sum("__value").cast(kind).alias("__sum"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).cast(kind).alias("__before"))
-    own = Window.partitionBy("__block").orderBy(order)
-    held = held.withColumn(out, F.sum("__value").over(own).cast(kind)).join(sums, "__block")
-    return held.withColumn(out, (F.col(out) + F.col("__before")).cast(kind)).drop("__block", "__value", "__before")
-
-
-def ranked(df: DataFrame, order: str, out: str, block: int = BLOCK) -> DataFrame:
-    """df with `out` = number of rows with a smaller order, by the same scan."""
-    held = running_sum(df, order, F.lit(1), out, block, "bigint")
+    block, own, total, upto, before = (f"__{x}_{order}" for x in ("block", "value", "sum", "upto", "before"))
+    held, blocks = blocked(df.withColumn(own, value.cast(kind)), order, block, rows)
+    inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumn(out, F.sum(own).over(inside).cast(kind))
+    if blocks > 1:
+        sums = held.groupBy(*keys, block).agg(F.sum(own).cast(kind).alias(total))
+        if blocks > TOP:
+            sums = running_sum(sums, block, F.col(total), upto, TOP, kind, keys)
+        else:
+            sums = sums.withColumn(upto, F.sum(total).over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)))
+        sums = sums.select(*keys, block, (F.col(upto) - F.col(total)).cast(kind).alias(before))
+        held = held.join(F.broadcast(sums) if not keys and blocks <= TOP else sums, [*keys, block])
+        held = held.withColumn(out, (F.col(out) + F.col(before)).cast(kind)).drop(before)
+    return held.drop(block, own)
+
+
+def ranked(df: DataFrame, order: str, out: str, rows: int = ROWS, keys: Sequence[str] = ()) -> DataFrame:
+    """df with `out` = number of rows (of the same keys) with a smaller order, by the same scan."""
+    held = running_sum(df, order, F.lit(1), out, rows, "bigint", keys)
     return held.withColumn(out, F.col(out) - 1)

@@ -97,7 +97,7 @@ def sql_draws(spark, st):
 
 def located(spark, sf):
     st = state(spark, sf)
-    return S.locate(S.prefix(st), sql_draws(spark, st))
+    return S.locate(st, sql_draws(spark, st))
 
 
 _LOCATED = STATE + f", {_DRAWS}, hit AS (SELECT k, draw, slot, version, leaf, source FROM draws JOIN scan ON draw >= cum_after - leaf AND draw < cum_after)"
@@ -149,7 +149,7 @@ def sample_stratified(spark, sf):
     st = state(spark, sf)
     d = spark.range(64).crossJoin(F.broadcast(S.totals(st).select("total"))).select(
         F.col("id").alias("k"), F.floor((F.col("id") + 0.5) * F.col("total").cast("double") / 64).cast("decimal(38,0)").alias("draw"))
-    return S.locate(S.prefix(st), d).select("k", F.col("draw").cast("long").alias("draw"), "slot")
+    return S.locate(st, d).select("k", F.col("draw").cast("long").alias("draw"), "slot")
 
 
 @query(STATE + """SELECT slot, round(least(1, greatest(0, pow(n * greatest(leaf::DOUBLE / total::DOUBLE, 1e-10), -0.5))), 9) AS w FROM state, tot""")
@@ -167,10 +167,9 @@ def sample_float_descent(spark, sf):
     """Float replay: inverse CDF on four-decimal priorities, one draw in each of 64 strata."""
     s = table(spark, sf, "events").selectExpr("event_id", "cast((cast(value as double) + 0.01D) as decimal(18,4)) * 10000 as leaf")
     s = s.withColumn("leaf", F.col("leaf").cast("decimal(20,0)"))
-    scanned = S.prefix(s, "event_id")
-    top = scanned.agg(F.max("cum_after").alias("t"))
+    top = s.agg(F.sum("leaf").cast("decimal(38,0)").alias("t"))
     d = spark.range(64).crossJoin(F.broadcast(top)).selectExpr("id as k", "cast(floor(t * (2 * id + 1) / 128) as decimal(38,0)) as draw")
-    return S.locate(scanned, d).select("k", "event_id")
+    return S.locate(s, d, "event_id").select("k", "event_id")
 
 
 @query()
@@ -180,7 +179,7 @@ def sample_keyed(spark, sf):
     t = S.totals(st)
     d = spark.range(N_DRAWS).crossJoin(F.broadcast(t.select("total"))).select(
         F.col("id").alias("k"), X.draw_udf(seed=42, buffer_id=7)(F.col("total"), F.col("id")).cast("decimal(38,0)").alias("draw"))
-    hit = S.locate(S.prefix(st), d).crossJoin(F.broadcast(t))
+    hit = S.locate(st, d).crossJoin(F.broadcast(t))
     w = X.weight_udf(BETA)("n", "leaf", "least", "total")
     p = X.probability_udf("leaf", "total")
     return hit.select("k", F.col("draw").cast("string").alias("draw"), "slot", "prompt_id", "version", F.col("leaf").cast("string").alias("leaf"), p.alias("p"), w.alias("w")).selectExpr(

@@ -121,27 +121,47 @@ def join_paired_difference(spark, sf):
 @query("""WITH s AS (SELECT quality, doc_id, row_number() OVER (ORDER BY quality, doc_id) - 1 AS r, count(*) OVER () AS n FROM labels)
 SELECT min(doc_id) FILTER (WHERE r = floor(0.025 * (n - 1))) AS lo, min(doc_id) FILTER (WHERE r = ceil(0.975 * (n - 1))) AS hi FROM s""")
 def agg_percentile_bounds(spark, sf):
-    """The rows at the bound ranks of the scores, ranked by a scan over (quality, doc_id)."""
+    """The rows at the bound ranks of the scores: ranked by doc_id inside each score, after the rows of lower scores."""
+    from pyspark.sql import Window
+
     from embertide.operators.scan import ranked
 
-    t = table(spark, sf, "labels").withColumn("o", F.col("quality").cast("long") * 10**12 + F.col("doc_id"))
-    t = ranked(t, "o", "r", block=10**9)
-    n = t.agg(F.count(F.lit(1)).alias("n"))
-    t = t.crossJoin(F.broadcast(n))
+    t = table(spark, sf, "labels").select("quality", "doc_id")
+    sizes = t.groupBy("quality").agg(F.count(F.lit(1)).alias("size"))  # one row for each score
+    w = Window.orderBy("quality").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"lower": F.coalesce(F.sum("size").over(w), F.lit(0)), "n": F.sum("size").over(Window.partitionBy())})
+    t = ranked(t, "doc_id", "r", keys=["quality"]).join(F.broadcast(sizes), "quality").withColumn("r", F.col("r") + F.col("lower"))
     return t.agg(F.min(F.when(F.col("r") == F.floor(0.025 * (F.col("n") - 1)), F.col("doc_id"))).alias("lo"), F.min(F.when(F.col("r") == F.ceil(0.975 * (F.col("n") - 1)), F.col("doc_id"))).alias("hi"))
 
 
 @query()
 def bootstrap_ci(spark, sf):
-    """Interval of toxicity label means by language, over seeds x items."""
-    d = table(spark, sf, "documents").select("doc_id", "lang").join(table(spark, sf, "labels"), "doc_id")
-    d = d.select("lang", (F.col("doc_id") % 3).alias("seed"), F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("score"))
-    return E.bootstrap(d, ["lang"], "seed", "item", "score")
+    """Interval of the mean quality of four arms, over seeds x items."""
+    return E.bootstrap(scores(spark, sf), ["arm"], "seed", "item", "score")
+
 
+def scores(spark, sf):
+    """Labels as evaluation scores: three seeds of an item are three documents in a row, all labelled."""
+    item = F.floor(F.col("doc_id") / 3)
+    d = table(spark, sf, "labels").groupBy(item.alias("item"), (F.col("doc_id") % 3).alias("seed")).agg(F.max("quality").cast("double").alias("score"))
+    whole = d.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("item")
+    return d.join(whole, "item", "left_semi").withColumn("arm", F.col("item") % 4)
 
-@query(r"""WITH t AS (SELECT doc_id, CASE WHEN contains(text, '####') THEN string_split(text, '####')[-1] ELSE text END AS tail, contains(text, '####') AS marked FROM documents),
-n AS (SELECT doc_id, marked, regexp_extract_all(tail, '-?[0-9][0-9,]*(?:\.[0-9]+)?') AS f FROM t)
-SELECT doc_id, TRY_CAST(replace(CASE WHEN marked THEN f[1] ELSE f[-1] END, ',', '') AS DECIMAL(38,6))::DOUBLE AS answer FROM n""")
+
+@query()
+def paired_bootstrap(spark, sf):
+    """Interval of the difference of each arm to arm 0, on the seeds that both have, item by item."""
+    s = scores(spark, sf).withColumn("item", F.floor(F.col("item") / 4))
+    every = s.groupBy("item", "seed").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("item", "seed")
+    s = s.join(every, ["item", "seed"], "left_semi")
+    per = s.groupBy("item").agg(F.countDistinct("seed").alias("k")).where("k = 3").select("item")
+    s = s.join(per, "item", "left_semi")
+    return E.paired_bootstrap(s.where("arm > 0"), s.where("arm = 0").drop("arm"), ["arm"], "seed", "item", "score")
+
+
+@query(r"""WITH t AS (SELECT doc_id, text, CASE WHEN contains(text, '####') THEN string_split(text, '####')[-1] END AS tail FROM documents),
+n AS (SELECT doc_id, regexp_extract_all(tail, '(^|[^0-9])(-?[0-9][0-9,]*(?:\.[0-9]+)?)', 2) AS a, regexp_extract_all(text, '(^|[^0-9])(-?[0-9][0-9,]*(?:\.[0-9]+)?)', 2) AS f FROM t)
+SELECT doc_id, TRY_CAST(replace(coalesce(a[1], f[-1]), ',', '') AS DECIMAL(38,6))::DOUBLE AS answer FROM n""")
 def str_answer_extract(spark, sf):
     return table(spark, sf, "documents").select("doc_id", A.number_answer(F.col("text")).cast("double").alias("answer"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from embertide.functions import answers, decay, exact
-from embertide.operators import batches, eventlog, sampling, scan, state, transitions
+from embertide.operators import batches, eventlog, experiments, sampling, scan, state, transitions
 from embertide.plans import w3_state, w6_experiments
 from embertide.sources import logs
 from embertide.streaming.buffer import Buffer
@@ -39,9 +39,19 @@ def test_quantize(spark):
 
 
 def test_keyed_draws():
-    assert [exact.keyed_draw(1000, 0, 0, c) for c in range(8)] == [469, 835, 294, 356, 572, 662, 822, 241]
-    assert [exact.keyed_draw(1000, 42, 7, c) for c in range(4)] == [367, 616, 857, 238]
-    assert exact.keyed_draw(2**64 - 1, 0, 0, 0) == 16317307613189596904
+    from hashlib import blake2b
+
+    def plain(n, seed, buffer, counter, domain):
+        key = blake2b(b"\xff".join(x.to_bytes(8, "big") for x in (seed, buffer, counter)), digest_size=32, person=domain).digest()
+        for block in range(1000):
+            x = int.from_bytes(blake2b(key + block.to_bytes(8, "big"), digest_size=32, person=domain).digest(), "big")
+            if x < 2**256 - 2**256 % n:
+                return x % n
+
+    for domain in (exact.DRAW, b"another domain"):
+        for n, seed, buffer, counter in [(1000, 0, 0, c) for c in range(8)] + [(1000, 42, 7, 3), (2**64 - 1, 0, 0, 0), (3, 1, 2, 3)]:
+            assert exact.keyed_draw(n, seed, buffer, counter, domain) == plain(n, seed, buffer, counter, domain)
+    assert [exact.keyed_draw(1000, 0, 0, c) for c in range(4)] != [exact.keyed_draw(1000, 0, 0, c, b"another domain") for c in range(4)]
     assert exact.keyed_draw(1, 5, 5, 5) == 0
 
 
@@ -51,15 +61,23 @@ def test_exact_functions():
     assert exact.canonical_json({"b": 1, "a": "é"}) == '{"a":"\\u00e9","b":1}'
 
 
-def test_running_sum_and_ranks(spark):
+def test_running_sum_and_ranks(spark, monkeypatch):
     rows = [(i * 3 + 1, (i * 7919) % 101) for i in range(3000)]
     df = spark.createDataFrame(rows, "o long, v long")
-    got = {r.o: int(r.s) for r in scan.running_sum(df, "o", F.col("v"), "s", block=500).collect()}
+    monkeypatch.setattr(scan, "TOP", 6)  # so sums of blocks are scanned in blocks too
+    got = {r.o: int(r.s) for r in scan.running_sum(df, "o", F.col("v"), "s", rows=100).collect()}
     total = 0
     for o, v in rows:
         total += v
         assert got[o] == total
-    assert {r.o: r.n for r in scan.ranked(df, "o", "n", block=700).collect()} == {o: i for i, (o, _) in enumerate(rows)}
+    assert {r.o: r.n for r in scan.ranked(df, "o", "n", rows=300).collect()} == {o: i for i, (o, _) in enumerate(rows)}
+    wide = df.withColumn("o", F.col("o") * F.col("o") * 1000).withColumn("k", F.col("v") % 3)  # sparse, uneven orders, by key
+    got = {r.o: r.n for r in scan.ranked(wide, "o", "n", rows=200, keys=["k"]).collect()}
+    seen = [0, 0, 0]
+    for o, v in rows:
+        assert got[o * o * 1000] == seen[v % 3]
+        seen[v % 3] += 1
+    assert scan.ranked(df.limit(0), "o", "n").collect() == []
 
 
 def test_locate_is_the_inverse_cdf(spark):
@@ -67,9 +85,10 @@ def test_locate_is_the_inverse_cdf(spark):
     leaves = [r.choice([0, 1, 5, 1000]) for _ in range(400)]
     st = spark.createDataFrame(list(enumerate(leaves)), "slot long, leaf long").withColumn("leaf", F.col("leaf").cast("decimal(20,0)"))
     draws = spark.range(sum(leaves)).where("id % 7 = 0").select(F.col("id").alias("k"), F.col("id").cast("decimal(38,0)").alias("draw"))
-    got = {r.k: r.slot for r in sampling.locate(sampling.prefix(st), draws, bands=16).collect()}
     edges = [s for s, leaf in enumerate(leaves) for _ in range(leaf)]
-    assert got == {k: edges[k] for k in range(0, sum(leaves), 7)}
+    for rows in (40, 10_000):
+        got = {r.k: r.slot for r in sampling.locate(st, draws, bands=16, rows=rows).collect()}
+        assert got == {k: edges[k] for k in range(0, sum(leaves), 7)}
 
 
 def naive_policy(rows, p):
@@ -97,6 +116,17 @@ def test_policy_stages(spark):
         assert [got[s, x["draw"]] for x in own] == naive_policy(own, policy)
 
 
+def test_policy_refuses_too_many_declines(spark):
+    df = spark.createDataFrame([(0, k, 0.1 * k, 1.0, k, 0) for k in range(6)], "step long, draw long, ratio double, w double, age long, grp long")
+    assert batches.decide(df, batches.Policy(max_age=3, max_declines_per_step=2)).where("reason is not null").count() == 2
+    with pytest.raises(Exception, match="3 declines in a step exceed 2"):
+        batches.decide(df, batches.Policy(max_age=2, max_declines_per_step=2)).collect()
+    told = batches.decide(df, batches.Policy(max_age=2))
+    assert [tuple(r) for r in batches.refused_steps(told, 2).collect()] == [(0, 3, 6)] and batches.refused_steps(told, 3).collect() == []
+    placed = {r.draw: (r.kept, r.advantage, r.rescaled) for r in batches.place(told.withColumn("scale", F.when(F.col("draw") == 1, 0.5).otherwise(1.0)), F.lit(2.0)).collect()}
+    assert placed[1] == (True, 1.0, True) and placed[0] == (True, 2.0, False) and placed[5] == (False, None, False)
+
+
 def test_nstep_matches_a_queue(spark):
     r = random.Random(4)
     rows = [(e, t, float(r.randrange(10)), r.random() < 0.15) for e in range(4) for t in range(40)]
@@ -176,47 +206,68 @@ def test_first_difference(spark):
 
 
 def test_answers(spark):
-    texts = ["so 1,234.50 it is", "#### 7 or 8", "none", "a -3 b", None]
+    texts = ["so 1,234.50 it is", "#### 7 or 8", "none", "a -3 b", None, "5 then #### none", "1-2", "#### x #### 4"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(answers.number_answer(F.col("t")))
-    assert [None if r[0] is None else float(r[0]) for r in df.collect()] == [1234.5, 7.0, None, -3.0, None]
-    assert answers.boxed(r"x \boxed{1} y \boxed{\frac{1}{2}} z \boxed{open") == r"\frac{1}{2}"
-    assert answers.same_number("1/2", "0.5") and not answers.same_number("1", "2")
+    assert [None if r[0] is None else float(r[0]) for r in df.collect()] == [1234.5, 7.0, None, -3.0, None, 5.0, 2.0, 4.0]
+    assert answers.boxed(r"x \boxed{1} y \boxed{\frac{1}{2}} z") == r"\frac{1}{2}" and answers.boxed(r"\boxed{1} \boxed{open") is None
+    pairs = spark.createDataFrame([("so 1,000", "#### 1000.0"), ("none", "none"), ("2", "3")], "c string, a string")
+    assert [r[0] for r in pairs.select(answers.number_reward(F.col("c"), F.col("a"))).collect()] == [1.0, 0.0, 0.0]
+
+
+def test_latex_answers(spark):
+    same = [(r"\frac{1}{2}", "0.5"), (r"\dfrac12", r"\dfrac12"), (r"-\tfrac{3}{4}", "-3/4"), (r"x=5", "5"), (r"\text{ 12 }", "12"), ("1,234", "1234"), (r"90^{\circ}", "90"), (r"50\%", "50"), (r"\left(1,2\right)", "(1,2)"), ("$7$.", "7")]
+    assert all(answers.same_latex(a, b) for a, b in same)
+    assert not any(answers.same_latex(a, b) for a, b in [("1", "2"), ("", ""), (None, "1"), (r"\frac{1}{0}", "1"), ("12,34", "1234")])
+    assert answers.latex_answer(r"so \boxed{ 3 }") == "3" and answers.latex_answer("#### 4 \n 5") == "4" and answers.latex_answer("6 and 7") == "7" and answers.latex_answer("no") is None
+    df = spark.createDataFrame([(r"thus \boxed{\frac{2}{4}}", "0.5"), (None, "1")], "c string, a string")
+    assert [r[0] for r in df.select(answers.latex_reward_udf("c", "a")).collect()] == [1.0, 0.0]
 
 
 def test_boxed_reads_whole_texts(spark, tmp_path):
     r = random.Random(8)
     for _ in range(3000):
         text = "".join(r.choices(["\\boxed{", "{", "}", "}", "a", "\\", "boxed", " "], k=r.randint(0, 14)))
-        want = None
-        for at in range(len(text)):  # the last one that balances
-            if text.startswith("\\boxed{", at):
-                depth = 0
-                for i in range(at + 6, len(text)):
-                    depth += (text[i] == "{") - (text[i] == "}")
-                    if depth == 0:
-                        want = text[at + 7 : i]
-                        break
+        at, want = text.rfind("\\boxed{"), None
+        for i in range(at + 7, len(text) + 1) if at >= 0 else ():
+            inner = text[at + 7 : i]
+            if text[i : i + 1] == "}" and inner.count("{") == inner.count("}"):
+                want = inner
+                break
         assert answers.boxed(text) == want, text
     began = time.process_time()
-    assert answers.boxed("\\boxed{x}" + "\\boxed{" * 8_000) == "x"
+    assert answers.boxed("\\boxed{x}" + "\\boxed{" * 8_000) is None and answers.boxed("\\boxed{" + "{}" * 200_000 + "}") == "{}" * 200_000
     assert time.process_time() - began < 2
     texts = ["one two three four " * 50 + "\\boxed{\\frac{1}{2}} and so on", "no box here at all", "\\boxed{a} b c d \\boxed{e f g h i}", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {x.doc_id: x.boxed for x in w6_experiments.str_boxed(spark, str(tmp_path)).collect()} == {0: "\\frac{1}{2}", 1: None, 2: "e f g h i", 3: None}
 
 
-def test_bootstrap_interval_is_that_of_2000_resamples(spark, tmp_path):
-    scores = [(i * 7919) % 11 / 2 for i in range(12)]
-    spark.createDataFrame([(i, "en") for i in range(12)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(list(enumerate(scores)), "doc_id long, quality double").write.parquet(f"{tmp_path}/labels.parquet")
-    rows = np.array(scores).reshape(4, 3).T
-    draw, means = np.random.Generator(np.random.PCG64(0)), []
-    for _ in range(2000):
-        seeds = draw.integers(0, 3, 3)
-        means.append(np.mean([rows[s, draw.integers(0, 4, 4)].mean() for s in seeds]))
+def plain_interval(rows, resamples=2000):
+    """rows: scores by seed and item."""
+    rng, means = np.random.default_rng(0), []
+    for _ in range(resamples):
+        seeds = rng.integers(0, rows.shape[0], size=rows.shape[0])
+        items = rng.integers(0, rows.shape[1], size=rows.shape[1])
+        means.append(rows[np.ix_(seeds, items)].mean())
     means.sort()
-    (got,) = w6_experiments.bootstrap_ci(spark, str(tmp_path)).collect()
-    assert tuple(got)[1:] == pytest.approx((rows.mean(), means[49], means[1950]), abs=1e-12)
+    return rows.mean(), means[49], means[1950]
+
+
+@pytest.mark.parametrize("block", [7, 50_000])
+def test_bootstrap_is_numpys_over_seeds_and_items(spark, monkeypatch, block):
+    monkeypatch.setattr(experiments, "ITEM_BLOCK", block)
+    r = np.random.default_rng(5)
+    arms = {"a": r.normal(size=(3, 20)), "b": r.normal(1, 1, size=(4, 9))}
+    rows = [(arm, s, i * 3, float(x)) for arm, m in arms.items() for (s, i), x in np.ndenumerate(m)]
+    df = spark.createDataFrame(rows, "arm string, seed long, item long, score double")
+    got = {x.arm: (x.mean, x.lo, x.hi) for x in experiments.bootstrap(df, ["arm"], "seed", "item", "score").collect()}
+    assert all(got[a] == pytest.approx(plain_interval(m), abs=1e-12) for a, m in arms.items())
+    with pytest.raises(Exception, match="same items"):
+        experiments.bootstrap(df.where("not (arm = 'a' and seed = 1 and item = 0)"), ["arm"], "seed", "item", "score").collect()
+    base = df.where("arm = 'a' and seed < 2").select("seed", "item", (F.col("score") * 0.5).alias("score"))
+    (row,) = experiments.paired_bootstrap(df.where("arm = 'a'"), base, ["arm"], "seed", "item", "score").collect()
+    half = arms["a"][:2] / 2
+    assert (row.mean, row.lo, row.hi) == pytest.approx(plain_interval(half), abs=1e-12) and (row.seeds, row.above) == (2, int((half.mean(1) > 0).sum()))
 
 
 def test_buffer_lifecycle():
