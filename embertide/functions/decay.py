@@ -65,13 +65,13 @@ def quantize(x: Column) -> Column:
 
 
 def leaf(q: Column, version: Column, base: int | Column, half_life: int) -> Column:
-    """(q * T[version mod h] >> 31) << (version div h - base), exact, as DECIMAL(20,0)."""
+    """(q * T[version mod h] >> 31) << (version div h - base), exact, as DECIMAL(20,0); null for a version of an epoch before base."""
     table = F.array(*(F.lit(t).cast("long") for t in decay_table(half_life)))
-    t = F.element_at(table, (version % half_life + 1).cast("int"))
+    t = F.get(table, F.pmod(version, F.lit(half_life)).cast("int"))
     scaled = F.shiftright(F.shiftright(q, 16) * t + F.shiftright(q.bitwiseAND(65535) * t, 16), TABLE_BITS - 16)
     shift = F.floor(version / half_life) - base
     powers = F.array(*(F.lit(1 << k).cast("decimal(20,0)") for k in range(63)))
-    return (scaled.cast("decimal(20,0)") * F.element_at(powers, (shift + 1).cast("int"))).cast("decimal(20,0)")
+    return (scaled.cast("decimal(20,0)") * F.get(powers, shift.cast("int"))).cast("decimal(20,0)")
 
 
 def expired(version: Column, now: int | Column, max_age: int) -> Column:

@@ -145,6 +145,31 @@ def exact_exp_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: str(_CONTEXT.exp(decimal.Decimal(max(-700.0, min(700.0, v))))))
 
 
+def weight_within_one_ulp(declared: Fraction, n: int, leaf: int, least: int, total: int, beta: float) -> bool:
+    """Whether a weight is the quotient of two powers, each at most one ulp from this machine's."""
+    try:
+        powers = [(n * x / total) ** -beta for x in (leaf, least)]
+    except (ArithmeticError, ValueError):
+        return False
+    if not all(math.isfinite(x) for x in powers) or powers[1] == 0:
+        return False
+    near = [(x, math.nextafter(x, math.inf), math.nextafter(x, 0.0)) for x in powers]
+    return any(declared == Fraction(a) / Fraction(b) for a in near[0] for b in near[1] if b > 0 and math.isfinite(a))
+
+
+@F.pandas_udf(T.StringType())
+def content_digest_hex_udf(prompt_id: pd.Series, tokens: pd.Series, reward_hex: pd.Series) -> pd.Series:
+    """content_digest of a manifest line, whose reward is spelled in hex; null where the line lacks a field or spells it wrong."""
+
+    def one(p, t, r) -> str | None:
+        try:
+            return content_digest(p, list(t), float.fromhex(r)) if float.fromhex(r).hex() == r else None
+        except (TypeError, ValueError, OverflowError):
+            return None
+
+    return pd.Series([one(*x) for x in zip(prompt_id, tokens, reward_hex, strict=True)], dtype=object)
+
+
 def within_one_ulp(a: float, b: float) -> bool:
     return a == b or math.nextafter(a, b) == b
 

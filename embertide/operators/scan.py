@@ -11,26 +11,35 @@ from pyspark.sql import functions as F
 ROWS, TOP = 100_000, 100_000
 
 
-def blocked(df: DataFrame, order: str, name: str, rows: int = ROWS) -> tuple[DataFrame, int]:
+Span = tuple[int, int | None, int | None]
+
+
+def span_of(df: DataFrame, order: str) -> Span:
+    """Count, least and greatest order of df: what blocks are cut by. One may serve many scans of the same rows or of some of them."""
+    return tuple(df.agg(F.count(F.lit(1)), F.min(order).cast("long"), F.max(order).cast("long")).first())
+
+
+def blocked(df: DataFrame, order: str, name: str, rows: int = ROWS, span: Span | None = None) -> tuple[DataFrame, int]:
     """df with `name`, the number of an equal range of its order values that holds about `rows` rows, and how many blocks there are.
 
-    The width follows from count, least and greatest order, so a sparse order doesn't make a block of each row.
+    The width follows from the span, so a sparse order doesn't make a block of each row.
     """
-    n, lo, hi = df.agg(F.count(F.lit(1)), F.min(order).cast("long"), F.max(order).cast("long")).first()
+    n, lo, hi = span or span_of(df, order)
     if not n or n <= rows:
         return df.withColumn(name, F.lit(0).cast("long")), 1
     width = max(1, -(-(hi - lo + 1) * rows // n))
     return df.withColumn(name, F.expr(f"({order} - {lo}L) div {width}L").cast("long")), (hi - lo) // width + 1
 
 
-def running_sum(df: DataFrame, order: str, value: Column, out: str, rows: int = ROWS, kind: str = "decimal(38,0)", keys: Sequence[str] = ()) -> DataFrame:
+def running_sum(df: DataFrame, order: str, value: Column, out: str, rows: int = ROWS, kind: str = "decimal(38,0)", keys: Sequence[str] = (),
+                span: Span | None = None) -> DataFrame:
     """df with `out` = sum of value over all rows (of the same keys) with a smaller or equal order.
 
     order is a whole number without ties. Rows are summed inside blocks in parallel; the sums of blocks are scanned by the same
     function while there are more than TOP, so no task sees more than TOP sums or about `rows` rows.
     """
     block, own, total, upto, before = (f"__{x}_{order}" for x in ("block", "value", "sum", "upto", "before"))
-    held, blocks = blocked(df.withColumn(own, value.cast(kind)), order, block, rows)
+    held, blocks = blocked(df.withColumn(own, value.cast(kind)), order, block, rows, span)
     inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     held = held.withColumn(out, F.sum(own).over(inside).cast(kind))
     if blocks > 1:
@@ -45,7 +54,7 @@ def running_sum(df: DataFrame, order: str, value: Column, out: str, rows: int =
     return held.drop(block, own)
 
 
-def ranked(df: DataFrame, order: str, out: str, rows: int = ROWS, keys: Sequence[str] = ()) -> DataFrame:
+def ranked(df: DataFrame, order: str, out: str, rows: int = ROWS, keys: Sequence[str] = (), span: Span | None = None) -> DataFrame:
     """df with `out` = number of rows (of the same keys) with a smaller order, by the same scan."""
-    held = running_sum(df, order, F.lit(1), out, rows, "bigint", keys)
+    held = running_sum(df, order, F.lit(1), out, rows, "bigint", keys, span)
     return held.withColumn(out, F.col(out) - 1)

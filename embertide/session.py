@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
     """A local session with the settings the queries are tested under."""
@@ -23,6 +28,22 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
     return spark
 
 
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """df written as Parquet into the folder that spark.checkpoint.dir names and read back, so that plans built on it start there.
+
+    Where that is unset, a folder of this session's own if everything runs on this machine, else an error.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="embertide-"))
+    path = f"{root.rstrip('/')}/embertide/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; the path may be a file, a folder or any Hadoop URL."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,28 +15,37 @@ from embertide.functions.exact import canonical_json, content_digest, float_hex,
 _TEXT = T.StringType()
 _DRAW = T.StructType([T.StructField(n, _TEXT) for n in ("leaf_index", "draw_int", "prob_num", "prob_den", "is_weight_num", "is_weight_den", "rejection_count", "entry_version")])
 _PLACED = T.StructType([T.StructField(n, _TEXT) for n in ("row", "draw", "content_digest")])
+_DECISION = T.StructType([T.StructField(n, _TEXT) for n in ("draw", "row", "group", "reason", "scale_num", "scale_den")])
 #: Fields of each operation of a log, beside op, prev_digest and digest (fixed values of the format).
+_MUTATION = (
+    "index", "old_priority_int", "new_priority_int", "op_counter", "base_priority_int", "entry_version", "base_epoch", "reason", "predicate", "note",
+    "content_digest", "source",
+)
 FIELDS: dict[str, tuple[str, ...]] = {
     "decay_config": (
         "format", "half_life", "max_policy_age", "capacity", "priority_bits", "priority_frac_bits", "table_frac_bits", "rebase_slack",
         "reset_age_on_update", "seed", "buffer_id", "alpha", "beta", "min_entry_age",
     ),
-    "insert": ("index", "old_priority_int", "new_priority_int", "op_counter", "base_priority_int", "entry_version", "base_epoch", "content_digest", "source"),
-    "update": ("index", "old_priority_int", "new_priority_int", "op_counter", "base_priority_int", "entry_version", "base_epoch"),
-    "evict": ("index", "old_priority_int", "new_priority_int", "op_counter", "base_priority_int", "entry_version", "base_epoch", "reason", "predicate", "note"),
-    "sample": ("root_total", "samples", "op_counter", "base_epoch", "beta"),
+    "insert": _MUTATION, "update": _MUTATION, "evict": _MUTATION,
+    "sample": ("root_total", "samples", "op_counter", "min_entry_age"),
     "advance_version": ("old_version", "new_version", "op_counter"),
     "rebase": ("old_base_epoch", "new_base_epoch", "root_total_before", "root_total_after", "op_counter"),
     "batch": ("step", "sample_op_counter", "batch_rows", "replaced", "declined", "tensor_digest"),
-    "telemetry": ("step", "sample_op_counter", "kept", "ess_num", "ess_den", "staleness_max", "staleness_sum", "reported", "log_ratios", "policy", "decisions"),
+    "telemetry": (
+        "step", "sample_op_counter", "batch_rows", "replaced_rows", "declined_rows", "dead_groups", "near_dead_groups", "ess_num", "ess_den",
+        "staleness_max", "staleness_sum", "reported", "log_ratios", "policy", "decisions",
+    ),
+}
+_ARRAYS = {
+    "samples": T.ArrayType(_DRAW), "replaced": T.ArrayType(_PLACED), "declined": T.ArrayType(_TEXT), "reported": T.ArrayType(_TEXT),
+    "log_ratios": T.ArrayType(_TEXT), "decisions": T.ArrayType(_DECISION),
 }
-_ARRAYS = {"samples": T.ArrayType(_DRAW), "replaced": T.ArrayType(_PLACED), "declined": T.ArrayType(_TEXT), "reported": T.ArrayType(_TEXT), "log_ratios": T.ArrayType(_TEXT)}
 _NAMES = sorted({f for fs in FIELDS.values() for f in fs})
 #: Numbers stay text, as they are in the file: they may exceed 64 bits.
 LOG_SCHEMA = T.StructType([T.StructField(n, _TEXT) for n in ("op", "prev_digest", "digest")] + [T.StructField(n, _ARRAYS.get(n, _TEXT)) for n in _NAMES])
 MANIFEST_SCHEMA = T.StructType([
-    T.StructField("op_counter", T.LongType()), T.StructField("index", T.IntegerType()), T.StructField("content_digest", _TEXT), T.StructField("prompt_id", _TEXT),
-    T.StructField("source", _TEXT), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("reward", _TEXT), T.StructField("entry_version", _TEXT),
+    T.StructField("op_counter", T.LongType()), T.StructField("index", T.LongType()), T.StructField("content_digest", _TEXT), T.StructField("prompt_id", _TEXT),
+    T.StructField("source", _TEXT), T.StructField("tokens", T.ArrayType(T.LongType())), T.StructField("reward_hex", _TEXT), T.StructField("entry_version", T.LongType()),
     T.StructField("rewards", T.MapType(_TEXT, T.DoubleType())),
 ])
 
@@ -66,16 +75,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 def log_violations(log: DataFrame) -> DataFrame:
     """(ord, problem): unknown keys, digests that don't match their line, broken links, unknown operations.
 
-    A link is checked by a join of each record with the one before it, not by a window over all.
+    A link is checked by a join of each record with the one before it, not by a window over all. Of telemetry, the reported fields are known too.
     """
     allowed = F.create_map(*(x for op, fs in FIELDS.items() for x in (F.lit(op), F.array(*(F.lit(f) for f in (*fs, "op", "prev_digest", "digest"))))))
     known = F.try_element_at(allowed, "op")
-    extra = F.array_except(F.json_object_keys("raw"), F.coalesce(known, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    extra = F.array_except(F.array_except(F.json_object_keys("raw"), F.coalesce(known, none)), F.coalesce("reported", none))
+    draw_keys, row_keys = (F.array(*(F.lit(f.name) for f in t.fields)) for t in (_DRAW, _PLACED))
+    inside = lambda c, keys: F.exists(F.from_json(F.get_json_object("raw", f"$.{c}"), "array<map<string,string>>"), lambda d: F.size(F.array_except(F.map_keys(d), keys)) > 0)
     before = log.select((F.col("ord") + 1).alias("ord"), F.col("digest").alias("want"))
     rows = log.join(before, "ord", "left").withColumn("want", F.coalesce("want", F.lit("genesis")))
     problems: list[Column] = [
         F.when(known.isNull(), F.lit("unknown operation")),
-        F.when(known.isNotNull() & (F.size(extra) > 0) & (F.col("op") != "telemetry"), F.concat(F.lit("unknown keys: "), F.array_join(extra, ","))),
+        F.when(known.isNotNull() & (F.size(extra) > 0), F.concat(F.lit("unknown keys: "), F.array_join(extra, ","))),
+        F.when((F.col("op") == "sample") & inside("samples", draw_keys), F.lit("unknown keys of a draw")),
+        F.when((F.col("op") == "batch") & inside("replaced", row_keys), F.lit("unknown keys of a row")),
         F.when(~F.col("digest").eqNullSafe(record_digest_udf("raw")), F.lit("digest")),
         F.when(~F.col("prev_digest").eqNullSafe(F.col("want")), F.lit("link")),
     ]
@@ -98,18 +112,18 @@ def write_lines(lines: DataFrame, path: str, order: str = "ord", value: str = "r
 
 
 def manifest_lines(rollouts: DataFrame) -> DataFrame:
-    """Manifest columns of rollouts (op_counter, index, prompt_id, source, tokens, reward, entry_version), digest and hex reward filled in."""
+    """Manifest columns of rollouts (op_counter, index, prompt_id, source, tokens, reward, entry_version), digest and hex spelling of the reward filled in."""
     from embertide.functions.exact import content_digest_udf
 
     return rollouts.select(
         "op_counter", "index", content_digest_udf("prompt_id", "tokens", "reward").alias("content_digest"), "prompt_id", "source", "tokens",
-        float_hex("reward").alias("reward"), F.col("entry_version").cast("string").alias("entry_version"),
+        float_hex("reward").alias("reward_hex"), F.col("entry_version").cast("long").alias("entry_version"),
     )
 
 
 def manifest_digest_ok(line: dict) -> bool:
     """Whether a manifest line opens to the digest it states."""
-    return content_digest(line["prompt_id"], line["tokens"], float.fromhex(line["reward"])) == line["content_digest"]
+    return content_digest(line["prompt_id"], line["tokens"], float.fromhex(line["reward_hex"])) == line["content_digest"]
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
