@@ -20,6 +20,7 @@ DRAW = b"embertide-draws" + bytes(1)
 #: Personalisation of the other hash domains (fixed values).
 CONTENT = b"rollout-content" + bytes(1)
 CHAIN = b"attest" + bytes(10)
+TENSORS = b"batch-tensors" + bytes(2)
 
 
 def keyed_draw(n: int, seed: int, buffer_id: int, counter: int, domain: bytes = DRAW) -> int:
@@ -182,3 +183,35 @@ def priority_int(x: float, alpha: float) -> int:
 @F.pandas_udf(T.StringType())
 def priority_int_udf(x: pd.Series) -> pd.Series:
     return x.map(lambda v: str(priority_int(v, 0.6)))
+
+
+@F.pandas_udf(_RATIONAL)
+def counted_ess_udf(nums: pd.Series, dens: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    """Effective size of weights, each given with how often it occurs."""
+    rows = []
+    for ns, ds, cs in zip(nums, dens, counts, strict=True):
+        ws = [(Fraction(int(n), int(d)), int(c)) for n, d, c in zip(ns, ds, cs, strict=True)]
+        squares = sum((w * w * c for w, c in ws), Fraction(0))
+        size = sum((w * c for w, c in ws), Fraction(0)) ** 2 / squares if squares else Fraction(0)
+        rows.append((str(size.numerator), str(size.denominator), float(size)))
+    return pd.DataFrame(rows, columns=["num", "den", "f"])
+
+
+def tensor_digest(tensors: list[tuple[str, tuple[int, ...], str, bytes]]) -> str:
+    """Digest over tensors in order: name|shape|kind and a line end, then little-endian 64-bit values."""
+    h = blake2b(digest_size=32, person=TENSORS)
+    for name, shape, kind, data in tensors:
+        h.update(f"{name}|{'x'.join(map(str, shape))}|{kind}\n".encode() + data)
+    return h.hexdigest()
+
+
+@F.pandas_udf(T.StringType())
+def tensor_digest_udf(name: pd.Series, values: pd.Series, mask: pd.Series) -> pd.Series:
+    """tensor_digest of one float row each; places outside the mask count as +0.0."""
+    import numpy as np
+
+    def one(n, x, m) -> str:
+        kept = np.where(np.asarray(m) != 0, np.asarray(x, "<f8"), 0.0).astype("<f8")
+        return tensor_digest([(n, kept.shape, "f64", kept.tobytes())])
+
+    return pd.Series([one(*x) for x in zip(name, values, mask, strict=True)], dtype=object)

@@ -122,3 +122,67 @@ def dead_rows(rows: DataFrame, group: str, advantage: Column) -> DataFrame:
     """Rows of groups all of whose advantages are zero: what a replay replaces."""
     w = Window.partitionBy(group)
     return rows.withColumn("__dead", F.bool_and(advantage == 0).over(w)).where("__dead").drop("__dead")
+
+
+def valid_rewards(rewards: Column, most: int = 256) -> Column:
+    """Whether a map of reward names to numbers has printable names and finite numbers."""
+    fine = lambda k, v: k.rlike(r"^(?:[^\p{C}\p{Z}]|\x20)+$") & (F.length(k) <= most) & (F.trim(k) != "") & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    return F.forall(F.map_entries(rewards), lambda e: fine(e["key"], e["value"]))
+
+
+def mask_run(mask: Column) -> tuple[Column, Column, Column]:
+    """Ones of a boolean mask, and whether they are one run at its start, or at its end."""
+    n, size = F.size(F.filter(mask, lambda x: x)), F.size(mask)
+    prefix = F.forall(F.transform(mask, lambda x, i: x == (i < n)), lambda ok: ok)
+    suffix = F.forall(F.transform(mask, lambda x, i: x == (i >= size - n)), lambda ok: ok)
+    return n, prefix, suffix
+
+
+def clamp_logprobs(values: Column, most: float = 1e-3) -> tuple[Column, Column, Column]:
+    """Log-probabilities with those just over 0 at 0, how many were, and whether one is larger than `most` or not finite."""
+    over = F.size(F.filter(values, lambda x: (x > 0) & (x <= most)))
+    bad = F.exists(values, lambda x: (x > most) | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.transform(values, lambda x: F.when((x > 0) & (x <= most), F.lit(0).cast("float")).otherwise(x)), over, bad
+
+
+def unpad(values: Column, n: Column, left: bool = False) -> Column:
+    """The n values of a row that padding surrounds: its last ones when padded on the left, else its first."""
+    return F.slice(values, F.size(values) - n + 1, n) if left else F.slice(values, F.lit(1), n)
+
+
+def shard(rows: DataFrame, row: str, start: int, stop: int) -> DataFrame:
+    """Rows start to stop (exclusive) of a batch."""
+    return rows.where(F.col(row).between(start, stop - 1))
+
+
+def union_shards(shards: list[DataFrame], values: str, fill) -> DataFrame:
+    """Shards in rank order, with `rank`, the length n of each row's values, and values padded on the right to the widest of all."""
+    every = None
+    for rank, part in enumerate(shards):
+        part = part.withColumn("rank", F.lit(rank)).withColumn("n", F.size(values))
+        every = part if every is None else every.unionByName(part)
+    width = every.agg(F.max("n").alias("__width"))  # one row
+    return every.crossJoin(F.broadcast(width)).withColumn(values, F.concat(values, F.array_repeat(F.lit(fill).cast(every.schema[values].dataType.elementType), F.col("__width") - F.col("n")))).drop("__width")
+
+
+def union_rounds(rounds: list[DataFrame]) -> DataFrame:
+    """Generation rounds under one another with `round`; all must have the same columns."""
+    first, every = rounds[0], None
+    for i, part in enumerate(rounds):
+        if set(part.columns) != set(first.columns):
+            raise ValueError(f"round {i} has other columns: {sorted(set(part.columns) ^ set(first.columns))}")
+        part = part.withColumn("round", F.lit(i))
+        every = part if every is None else every.unionByName(part)
+    return every
+
+
+def linear_schedule(step: Column, start: float, end: float, total: int) -> Column:
+    """From start to end in equal steps, then end."""
+    return F.greatest(F.lit(end), F.lit(start) - (F.lit(start) - F.lit(end)) * step / total)
+
+
+def miswritten(read: DataFrame, want: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Rows to be written that read back differently, or not at all."""
+    new = read.select(*keys, F.struct(*fields).alias("__read"))
+    both = want.withColumn("__want", F.struct(*fields)).join(new, keys, "left")
+    return both.where(~F.col("__read").eqNullSafe(F.col("__want"))).drop("__read", "__want")

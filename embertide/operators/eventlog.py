@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertide.operators.scan import running_sum
@@ -76,15 +76,35 @@ def first_difference(left: DataFrame, right: DataFrame, order: str, fields: list
     return both.orderBy(order).limit(1).select(order, F.array_join(F.array_sort(names), ",").alias("fields"))
 
 
-def link_breaks(log: DataFrame, order: str = "ord") -> DataFrame:
-    """Records whose prev_digest isn't the digest before them (the first must say genesis)."""
-    before = F.lag("digest").over(Window.orderBy(order))
-    return log.withColumn("want", F.coalesce(before, F.lit("genesis"))).where("prev_digest <> want")
-
-
 def uncovered(declared: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows declared but not placed exactly once, and placed but not declared."""
     a = declared.groupBy(*keys).agg(F.count(F.lit(1)).alias("declared"))
     b = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("placed"))
     both = a.join(b, keys, "full").fillna(0, ["declared", "placed"])
     return both.where("declared <> 1 or placed <> 1")
+
+
+def disagreeing(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Rows of left whose value a isn't the value b that right has for their keys (or has none)."""
+    return left.join(right.select(*keys, b), keys, "left").where(~F.col(a).eqNullSafe(F.col(b)))
+
+
+def differing(left: DataFrame, right: DataFrame, order: str, fields: list[str]) -> DataFrame:
+    """Each order at which two logs differ: the fields that do, or `missing` / `extra` where only one has it."""
+    both = left.select(order, F.struct(*fields).alias("a")).join(right.select(order, F.struct(*fields).alias("b")), order, "full")
+    same = [F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]
+    told = [F.when(F.col("b").isNull(), F.lit("missing")), F.when(F.col("a").isNull(), F.lit("extra")), *same]
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select(order, F.concat_ws(",", *told).alias("fields"))
+
+
+def not_persisting(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """Rows that leave out a value declared earlier under their keys (left_out), or differ from the first one (changed)."""
+    first = F.first(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__first", first)
+    left, changed = F.col("__first").isNotNull() & F.col(value).isNull(), F.coalesce(F.col(value) != F.col("__first"), F.lit(False))
+    return rows.withColumns({"left_out": left, "changed": changed}).where("left_out or changed").drop("__first")
+
+
+def canonical_int(text: Column) -> Column:
+    """Whether a text is a whole number as the log spells one: digits without sign, space or leading zero."""
+    return text.rlike("^(0|[1-9][0-9]*)$")

@@ -66,3 +66,23 @@ def locate(state: DataFrame, draws: DataFrame, order: str = "slot", bands: int =
         top = F.broadcast(state.agg(F.sum("leaf").cast(wide).alias("total")))  # one row
         asked = asked.crossJoin(top).withColumn("__block", F.lit(0).cast("long"))
     return _within(held, asked, "__rest", ["__block"], bands).drop("__block", "__rest", "lo", "hi")
+
+
+def exact_ess(df: DataFrame, keys: list[str], num: str, den: str) -> DataFrame:
+    """Per key: ess_num, ess_den, ess: (sum w)**2 / sum w**2 over exact weights num / den.
+
+    Equal weights are counted map-side first, so a key meets its distinct weights only.
+    """
+    from embertide.functions.exact import counted_ess_udf
+
+    per = df.groupBy(*keys, num, den).agg(F.count(F.lit(1)).alias("__n"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    held = per.groupBy(*keys).agg(F.collect_list(F.struct(text(num), text(den), text("__n"))).alias("__w"))
+    ess = counted_ess_udf(F.col(f"__w.{num}"), F.col(f"__w.{den}"), F.col("__w.__n"))
+    return held.select(*keys, ess.alias("e")).select(*keys, F.col("e.num").alias("ess_num"), F.col("e.den").alias("ess_den"), F.col("e.f").alias("ess"))
+
+
+def next_power_of_two(n: Column) -> Column:
+    """The least power of two that is n or more (1 for 0)."""
+    bits = F.length(F.bin(F.greatest(n.cast("long") - 1, F.lit(0).cast("long"))))
+    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), bits).cast("long"))

@@ -150,13 +150,10 @@ def scores(spark, sf):
 
 @query()
 def paired_bootstrap(spark, sf):
-    """Interval of the difference of each arm to arm 0, on the seeds that both have, item by item."""
-    s = scores(spark, sf).withColumn("item", F.floor(F.col("item") / 4))
-    every = s.groupBy("item", "seed").agg(F.count(F.lit(1)).alias("n")).where("n = 4").select("item", "seed")
-    s = s.join(every, ["item", "seed"], "left_semi")
-    per = s.groupBy("item").agg(F.countDistinct("seed").alias("k")).where("k = 3").select("item")
-    s = s.join(per, "item", "left_semi")
-    return E.paired_bootstrap(s.where("arm > 0"), s.where("arm = 0").drop("arm"), ["arm"], "seed", "item", "score")
+    """Interval of the difference of each return flag to N in mean discount, on the seeds that both have, item by item."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), (F.col("l_linenumber") % 3).alias("seed"), (F.col("l_partkey") % 20).alias("item"))
+    s = li.agg((F.sum(F.col("l_discount").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("score"))
+    return E.paired_bootstrap(s.where("arm <> 'N'"), s.where("arm = 'N'").drop("arm"), ["arm"], "seed", "item", "score")
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, CASE WHEN contains(text, '####') THEN string_split(text, '####')[-1] END AS tail FROM documents),

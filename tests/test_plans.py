@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from embertide.plans import w1_groups, w2_sampling, w3_state, w4_log, w5_batches, w6_experiments, w7_transitions, w8_verify
+from embertide.plans import w1_groups, w2_sampling, w3_state, w4_log, w5_batches, w6_experiments, w7_transitions, w8_verify, w9_attested
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PLANS = (w1_groups, w2_sampling, w3_state, w4_log, w5_batches, w6_experiments, w7_transitions, w8_verify)
+PLANS = (w1_groups, w2_sampling, w3_state, w4_log, w5_batches, w6_experiments, w7_transitions, w8_verify, w9_attested)
 QUERIES = {n: (f, p.ORACLE.get(n)) for p in PLANS for n, f in p.QUERIES.items()}
 
 
