@@ -239,7 +239,11 @@ def _feature_rows(model: ToxicModel, df: DataFrame):
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """doc_id, score of each row: texts whole, null as empty; nothing but the text enters."""
+    """doc_id, score of each row: texts whole, null as empty; nothing but the text enters.
+
+    Repeated rows repeat, rows without doc_id are scored too, an empty table gives an empty result, other columns are ignored. A very
+    long text is held whole and read in time linear in its length. Empty texts all have the score of no evidence.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -252,7 +256,9 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """docs without rows of score 0.5 or more; columns unchanged. Filters in place, without a join."""
+    """docs without rows of score 0.5 or more; columns unchanged. Filters in place, without a join, so each row stands for itself, repeated ones and
+    those without doc_id too; null and empty texts stay unless the model rejects all; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

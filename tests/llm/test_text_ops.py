@@ -152,15 +152,52 @@ def test_toxicity_learns_stems_and_handles_edges(spark):
     assert toxicity.fit(docs, lab.where("toxic = 0")).score(["zorg"])[0] < 0.5
 
 
-def test_shared_backoff_sums_to_one(spark):
-    docs = spark.createDataFrame([(1, "abc abd bcd"), (2, "cab ab")], "doc_id long, text string")
-    p = {r.gram: r.p for r in toxicity._shared(docs).collect()}
+def brute_backoff(words):
+    """Kneser-Ney over continuation counts, written out: (gram up to ORDER - 1 characters) -> probability of its last character."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    grams, levels = {g for w in words for g in toxicity.ngrams(toxicity.clean(w))}, {}
+    for k in range(order - 1, 0, -1):
+        count = {}
+        for g in grams:
+            cut = g[1:] if len(g) > k else g
+            count[cut] = count.get(cut, 0) + 1
+        levels[k], grams = count, set(count)
+    p = None
+    for k in range(1, order):
+        total, kinds = {}, {}
+        for g, c in levels[k].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+        lower = lambda g, k=k, p=p: 1 / len(levels[k]) if p is None else p[g[1:] if len(g) > k - 1 else g]
+        p = {g: (max(c - d, 0) + d * kinds[g[:-1]] * lower(g)) / total[g[:-1]] for g, c in levels[k].items()}
+    return p
+
+
+def test_shared_backoff_is_kneser_ney_written_out(spark):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choices("abcé", k=r.randint(1, 9))) for _ in range(30)) for _ in range(12)] + ["", None, "a.b! (c)"]
+    got = {x.gram: x.p for x in toxicity._shared(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_backoff({w for t in texts if t for w in t.lower().split()})
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
     by = {}
-    for g, x in p.items():
+    for g, x in got.items():
         by[g[:-1]] = by.get(g[:-1], 0) + x
     assert all(0 < x <= 1 + 1e-9 for x in by.values())
 
 
+def test_toxicity_of_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, f"ba no {'zorg' if i % 2 else 'ti'} re " * 3) for i in range(40)] * 2, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab)
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert len(got) == 80 and len({(x.doc_id, x.score) for x in got}) == 40
+    assert toxicity.score_toxicity(docs.limit(0), model).collect() == [] and toxicity.drop_toxic(docs.limit(0), model).collect() == []
+    plain = toxicity.fit(docs, lab.limit(0))
+    assert toxicity.drop_toxic(docs, plain).count() == 80 and toxicity.fit(docs.limit(0), lab).score(["x", ""])[0] < 0.5
+    long = toxicity.score_toxicity(spark.createDataFrame([(1, "ba no ti " * 300_000)], "doc_id long, text string"), model).collect()
+    assert 0 <= long[0].score <= 1
+
+
 # --- HTML -----------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header>
 <nav><ul><li><a href="/x">x</a></li></ul></nav><!-- ad --><div class="ad">Buy</div><article><h1>%s</h1><p><b>%s<br><p>one &amp; two &lt;
