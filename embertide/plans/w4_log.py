@@ -218,22 +218,6 @@ def check_known_keys(spark, sf):
     return table(spark, sf, "events").select("event_id", (F.size(F.array_except(keys, F.array(F.lit("k")))) == 0).alias("known"))
 
 
-@query(LOG + """SELECT ord, regexp_matches(slot::VARCHAR, '^(0|[1-9][0-9]*)$') AS canonical FROM log""")
-def check_canonical_int(spark, sf):
-    return log(spark, sf).select("ord", F.col("slot").cast("string").rlike("^(0|[1-9][0-9]*)$").alias("canonical"))
-
-
-@query(LOG + """, i AS (SELECT ord, slot, value, lag(value) OVER (PARTITION BY slot ORDER BY ord) AS old FROM log WHERE op IN ('insert', 'update'))
-SELECT ord, coalesce(old, 0) AS old_value, value AS new_value FROM i""")
-def check_old_value(spark, sf):
-    """What each mutation must give as the slot's old value."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("slot").orderBy("ord")
-    m = log(spark, sf).where("op in ('insert', 'update')")
-    return m.select("ord", F.coalesce(F.lag("value").over(w), F.lit(0.0)).alias("old_value"), F.col("value").alias("new_value"))
-
-
 @query(LOG + """, iv AS (SELECT ord AS a, coalesce(end_ord, 1e15::BIGINT) AS b FROM life)
 SELECT s.ord, count(iv.a) AS live FROM (SELECT ord FROM log WHERE op = 'sample') s LEFT JOIN iv ON iv.a < s.ord AND s.ord < iv.b GROUP BY 1""")
 def win_live_set(spark, sf):

@@ -182,14 +182,3 @@ def topk_exposure(spark, sf):
 def topk_seeded_shuffle(spark, sf):
     """A seeded shuffle, the first 50: sampling without replacement by a keyed hash."""
     return table(spark, sf, "documents").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7"))), "doc_id").limit(50).select("doc_id")
-
-
-@query("""WITH f AS (SELECT *, CASE WHEN l_discount > 0.08 THEN NULL ELSE l_discount END AS d2 FROM lineitem)
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, concat_ws(',', CASE WHEN l_discount IS DISTINCT FROM d2 THEN 'discount' END, CASE WHEN l_tax > 0.07 THEN 'tax' END) AS fields FROM f
-WHERE l_discount IS DISTINCT FROM d2 OR l_tax > 0.07""")
-def diff_fields(spark, sf):
-    """Fields in which a record differs from its changed copy."""
-    d = ~F.col("l_discount").eqNullSafe(F.when(F.col("l_discount") > 0.08, None).otherwise(F.col("l_discount")))
-    t = F.col("l_tax") > 0.07
-    names = F.concat_ws(",", F.when(d, F.lit("discount")), F.when(t, F.lit("tax")))
-    return table(spark, sf, "lineitem").where(d | t).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", names.alias("fields"))
