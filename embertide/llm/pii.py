@@ -16,6 +16,8 @@ from embertide.llm.common import spread, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
+#: Words that a batch of the decoder pads its runs to, at most.
+BATCH_WORDS = 500_000
 #: Distinct feature sets whose scores a worker remembers.
 HELD_TYPES = 100_000
 Span = tuple[str, int, int]
@@ -237,10 +239,8 @@ class ShapeCRF:
         self.types: dict[tuple[str, ...], int] = {}
         self.words: dict[str, int] = {}
         self.table = np.zeros((3, 1024, len(LABELS)))
-        spread = max(np.ptp(self.step), 1e-9)
-        #: A word this much likelier as O than as anything else is O in a best path:
-        #: making it O changes two transitions, each by `spread` at most.
-        self.sure = 2 * spread
+        #: What a label can gain over O by the step into it, and what a run of labels gains at most by the step out of it.
+        self.into, self.out_of = self.step[:, 1:].max(0) - self.step[0, 0], self.step[1:, 0].max() - self.step[0, 0]
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("types", "words", "table")}
@@ -274,6 +274,18 @@ class ShapeCRF:
         e[:-1] += self.table[2][ids[1:]]
         return e
 
+    def possible(self, e: np.ndarray) -> np.ndarray:
+        """Words that may be other than O in a best path; all others are O in every one.
+
+        Each word of a run of labels between two O gains at most its best label's emission over that of O and the step into it, and
+        the run what the step out of it gives. A word is possible if some run over it doesn't lose by that bound.
+        """
+        gain = (e[:, 1:] - e[:, :1] + self.into).max(1)
+        total = np.concatenate([[0.0], np.cumsum(gain)])
+        before = total[1:] - np.minimum.accumulate(total)[:-1]  # the best run that ends here
+        after = np.maximum.accumulate(total[::-1])[::-1][1:] - total[:-1]  # the best run that starts here
+        return before + after - gain >= -self.out_of - 1e-6
+
     def _train(self, table, steps: int, ridge: float) -> None:
         """Maximum likelihood by full-batch Adam; all rows padded into one tensor."""
         long, k = max(map(len, table)), len(LABELS)
@@ -328,11 +340,19 @@ class ShapeCRF:
                 x += 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
     def decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of each run of emissions, between sure O on both sides; all runs in one numpy batch."""
-        if not runs:
-            return []
+        """Best labels of each run of emissions, between sure O on both sides; runs of like length in one numpy batch of BATCH_WORDS at most, or one run."""
+        out: list[np.ndarray] = [np.empty(0)] * len(runs)
+        order, start = sorted(range(len(runs)), key=lambda i: -len(runs[i])), 0
+        while start < len(order):
+            some = order[start : start + max(1, BATCH_WORDS // len(runs[order[start]]))]
+            for i, path in zip(some, self._decode([runs[i] for i in some]), strict=True):
+                out[i] = path
+            start += len(some)
+        return out
+
+    def _decode(self, runs: list[np.ndarray]) -> list[np.ndarray]:
         length = np.array([len(r) for r in runs])
-        order = np.argsort(-length)
+        order = np.argsort(-length, kind="stable")
         n, long, k = len(runs), int(length.max()), len(LABELS)
         back = np.zeros((long, n, k), np.int8)
         best = np.stack([runs[i][0] for i in order]) + self.step[0]
@@ -380,7 +400,7 @@ def added_spans(texts: list[str], model: ShapeCRF) -> list[list[Span]]:
         if not words:
             continue
         e = model.emissions(words)
-        loose = e[:, 0] - e[:, 1:].max(1) < model.sure
+        loose = model.possible(e)
         if not loose.any():
             continue
         edge = np.diff(loose.astype(np.int8), prepend=np.int8(0), append=np.int8(0))
