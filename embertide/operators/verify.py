@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from embertide.functions import exact as X
 from embertide.functions.decay import Decay, expired
+from embertide.functions.staleness import decision_problem_udf
 from embertide.operators import replay as R
 from embertide.operators.scan import Span, ranked, running_sum, span_of
 from embertide.session import cut
@@ -315,6 +316,16 @@ def telemetry_problems(clocked: DataFrame, moved: DataFrame, drawn: DataFrame) -
     ages = now.withColumn("age", F.col("version") - F.col("held_t")).groupBy("ord", "staleness_max", "staleness_sum").agg(F.max("age").alias("most"), F.sum("age").alias("sum"))
     out = out.unionByName(problems(ages, staleness=(F.col("staleness_max") != F.col("most")) | (F.col("staleness_sum") != F.col("sum"))))
 
+    aged = now.withColumn("age", F.col("version") - F.col("held_t")).select("ord", "k", "age")
+    aged = aged.groupBy("ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "age"))), lambda a: a.age).alias("ages"))
+    decided = named.where("policy is not null or decisions is not null").join(aged, "ord")
+    out = out.unionByName(problems(decided, policy_without_decisions=F.col("policy").isNull() != F.col("decisions").isNull(), policy_without_log_ratios=F.col("log_ratios").isNull()))
+    spelled = F.to_json("decisions", {"ignoreNullFields": "false"})
+    told = decided.withColumn("problem", decision_problem_udf("policy", "log_ratios", "ws.w_num", "ws.w_den", "ages", spelled))
+    out = out.unionByName(told.where("problem is not null").select("ord", "problem"))
+    kept = F.size(F.filter("decisions", lambda d: d.reason.isNull()))
+    out = out.unionByName(problems(decided, decisions_disagree_with_the_counts=(kept != F.col("replaced_rows")) | (F.size("decisions") - kept != F.col("declined_rows"))))
+
     witness = clocked.where("op = 'batch'").select(
         "sample_op_counter", F.col("ord").alias("w_ord"), F.col("step").alias("w_step"), whole("batch_rows").alias("w_rows"), F.size("replaced").cast("bigint").alias("w_replaced"),
         F.size(F.coalesce("declined", F.array().cast("array<string>"))).cast("bigint").alias("w_declined"))

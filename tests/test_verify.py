@@ -2,11 +2,12 @@
 
 import json
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from embertide.functions import exact
+from embertide.functions import exact, staleness
 from embertide.functions.decay import Decay
 from embertide.operators import replay, verify
 from embertide.sources import logs
@@ -235,3 +236,62 @@ def test_writer_refuses(spark):
     with pytest.raises(ValueError):
         b.witness(0, 4, [(0, 0)], [1], "ab" * 32)
     assert exact.effective_size([]) == 0
+
+
+def a_decided_run(seed=3, **policy):
+    """Steps whose draws a declared policy keeps, declines or rescales."""
+    r = random.Random(seed)
+    b = AttestedBuffer(Decay(half_life=2, max_age=6, capacity=16), seed=9)
+    declared = staleness.spelled(**policy)
+    for v in range(5):
+        b.add_group("p", [([v, k], 1.0, 1 << r.randrange(12, 22)) for k in range(4)], v)
+        draws = b.sample(6, v)
+        ratios, rows = [r.choice([0.1, 1.1, 1.1, 1.1, 1.5, float("inf"), r.uniform(-1, 2)]) for _ in draws], r.sample(range(12), 6)
+        told = staleness.decide(staleness.read_policy(json.dumps(declared)), ratios, [d.weight for d in draws], [v - d.version for d in draws], [x // 4 for x in rows])
+        spelled = [{"draw": k, "row": x, "group": x // 4, "reason": why, "scale_num": str(s.numerator), "scale_den": str(s.denominator)} for k, (x, (why, s)) in enumerate(zip(rows, told))]
+        kept = sum(why is None for why, _ in told)
+        b.telemetry(v, 12, kept, 6 - kept, log_ratios=[x.hex() if abs(x) < 9 else "inf" for x in ratios], policy=declared, decisions=spelled)
+    return b
+
+
+def test_declared_decisions_are_replayed(spark, tmp_path):
+    b = a_decided_run(seed=6, max_age=1, ess_floor=0.8, mass_cap=0.25, max_log_ratio=1.2, group_size=4)
+    reasons = {d["reason"] for x in b.records if x["op"] == "telemetry" for d in x["decisions"]}
+    assert reasons == {None, "drift", "age", "ess"} and any(d["scale_den"] != "1" for x in b.records if x["op"] == "telemetry" for d in x["decisions"])
+    assert found(spark, tmp_path, b, only=["chain", "telemetry"]) == set()
+    at = [i for i, x in enumerate(b.records) if x["op"] == "telemetry"]
+    bad = {
+        at[0]: ("decisions", lambda d: [{**d[0], "reason": "age" if d[0]["reason"] is None else None, "scale_num": "1", "scale_den": "1"}, *d[1:]], "decisions are not the policy's"),
+        at[1]: ("decisions", lambda d: [{**d[0], "group": d[0]["group"] + 1}, *d[1:]], "decision rows"),
+        at[2]: ("decisions", lambda d: d[:-1], "decisions are not the draws"),
+        at[3]: ("policy", lambda p: {**p, "max_age": 99}, "policy changes"),
+        at[4]: ("decisions", lambda d: None, "policy without decisions"),
+    }
+    records = [x if i not in bad else {k: v for k, v in {**x, bad[i][0]: bad[i][1](x[bad[i][0]])}.items() if v is not None} for i, x in enumerate(b.records)]
+    assert {(i + 1, p) for i, (_, _, p) in bad.items()} <= found(spark, tmp_path, b, records, only=["telemetry"])
+
+
+def test_exact_policy_is_the_window_form(spark):
+    from embertide.operators import batches
+
+    r, rows = random.Random(6), []
+    for step in range(30):
+        for k in range(r.randint(1, 9)):
+            rows.append((step, k, r.choice([0.25, -0.5, 1.5, float("inf")]), 1 / 2 ** r.randint(0, 5), r.randrange(6), k % 2))
+    df = spark.createDataFrame(rows, "step long, draw long, ratio double, w double, age long, grp long")
+    limits = {"max_age": 3, "ess_floor": 0.75, "mass_cap": 0.125, "max_log_ratio": 1.0}
+    got = {(x.step, x.draw): (x.reason, x.scale) for x in batches.decide(df, batches.Policy(**limits)).collect()}
+    policy = staleness.read_policy(json.dumps(staleness.spelled(**limits)))
+    for step in range(30):
+        own = [x for x in rows if x[0] == step]
+        want = staleness.decide(policy, [x[2] for x in own], [Fraction(x[3]) for x in own], [x[4] for x in own], [x[5] for x in own])
+        for x, (reason, scale) in zip(own, want):
+            assert got[step, x[1]] == (reason, pytest.approx(float(scale), rel=1e-9))
+
+
+def test_policies_are_read_strictly():
+    fine = staleness.spelled(max_age=2, mass_cap=0.0)
+    assert staleness.read_policy(json.dumps(fine))["mass_cap"] == 0
+    for bad in ({**fine, "extra": 1}, {**fine, "ess_floor": "0x1p+1"}, {**fine, "max_age": True}, {**fine, "group_size": 0}, {**fine, "mass_cap": "0.5"}, staleness.spelled()):
+        with pytest.raises(ValueError):
+            staleness.read_policy(json.dumps(bad))
