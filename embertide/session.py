@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANED: set[str] = set()
 
 
 def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -29,7 +30,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """df written as Parquet into the folder that spark.checkpoint.dir names and read back, so that plans built on it start there.
+    """df written as Parquet into the folder that spark.checkpoint.dir names and read back, so that plans built on it start there; it goes when the
+    application ends.
 
     Where that is unset, a folder of this session's own if everything runs on this machine, else an error.
     """
@@ -39,8 +41,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="embertide-"))
-    path = f"{root.rstrip('/')}/embertide/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    folder = f"{root.rstrip('/')}/embertide-cut/{app}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if app not in _CLEANED:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        _CLEANED.add(app)
     return spark.read.schema(df.schema).parquet(path)
 
 
