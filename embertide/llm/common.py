@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 _OWN_ROOT: dict[str, str] = {}
+#: Applications whose tables are marked to go.
+_CLEANED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,10 +31,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The tables of an application stand in one folder, which goes when the application ends, as a result may be read until then.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/embertide/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_root(spark)}/embertide/{app}"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if app not in _CLEANED:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        _CLEANED.add(app)
     return spark.read.schema(df.schema).parquet(path)
 
 
