@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from embertide.functions.decay import Decay, leaf
-from embertide.operators.scan import Span, running_sum, span_of
+from embertide.operators.scan import Span, running_sum, running_sums, span_of
 
 WIDE = "decimal(38,0)"
 #: Bits of a slot number and of an order.
@@ -35,8 +35,7 @@ def clock(log: DataFrame, span: Span | None = None) -> DataFrame:
         ("others", F.when(stale | op.isin("rebase", "advance_version", "decay_config"), 0).otherwise(1)),
     )
     span = span or span_of(log, "ord")
-    for name, change in running:
-        log = running_sum(log, "ord", change, name, kind="bigint", span=span)
+    log = running_sums(log, "ord", {name: (change, "bigint") for name, change in running}, span=span)
     return log.withColumn("draws_before", F.col("draws_before") - drawn)
 
 

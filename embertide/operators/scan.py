@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,27 +31,38 @@ def blocked(df: DataFrame, order: str, name: str, rows: int = ROWS, span: Span |
     return df.withColumn(name, F.expr(f"({order} - {lo}L) div {width}L").cast("long")), (hi - lo) // width + 1
 
 
-def running_sum(df: DataFrame, order: str, value: Column, out: str, rows: int = ROWS, kind: str = "decimal(38,0)", keys: Sequence[str] = (),
-                span: Span | None = None) -> DataFrame:
-    """df with `out` = sum of value over all rows (of the same keys) with a smaller or equal order.
+def running_sums(df: DataFrame, order: str, sums: Mapping[str, tuple[Column, str]], rows: int = ROWS, keys: Sequence[str] = (),
+                 span: Span | None = None) -> DataFrame:
+    """df with a column for each of `sums` (name: value and type), the sum of its value over all rows (of the same keys) with a smaller or equal order.
 
     order is a whole number without ties. Rows are summed inside blocks in parallel; the sums of blocks are scanned by the same
-    function while there are more than TOP, so no task sees more than TOP sums or about `rows` rows.
+    function while there are more than TOP, so no task sees more than TOP sums or about `rows` rows. All values share the blocks, the
+    window and the join: scans one after another would each hold the plan below them twice, and so double it.
     """
-    block, own, total, upto, before = (f"__{x}_{order}" for x in ("block", "value", "sum", "upto", "before"))
-    held, blocks = blocked(df.withColumn(own, value.cast(kind)), order, block, rows, span)
+    block, upto, before = (f"__{x}_{order}" for x in ("block", "upto", "before"))
+    own = {out: f"__value{i}_{order}" for i, out in enumerate(sums)}
+    kinds = {out: kind for out, (_, kind) in sums.items()}
+    held, blocks = blocked(df.select("*", *(value.cast(kind).alias(own[out]) for out, (value, kind) in sums.items())), order, block, rows, span)
     inside = Window.partitionBy(*keys, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn(out, F.sum(own).over(inside).cast(kind))
+    held = held.withColumns({out: F.sum(own[out]).over(inside).cast(kind) for out, kind in kinds.items()})
     if blocks > 1:
-        sums = held.groupBy(*keys, block).agg(F.sum(own).cast(kind).alias(total))
+        totals = held.groupBy(*keys, block).agg(*(F.sum(c).cast(kinds[out]).alias(c) for out, c in own.items()))
         if blocks > TOP:
-            sums = running_sum(sums, block, F.col(total), upto, TOP, kind, keys)
+            totals = running_sums(totals, block, {upto + c: (F.col(c), kinds[out]) for out, c in own.items()}, TOP, keys)
         else:
-            sums = sums.withColumn(upto, F.sum(total).over(Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)))
-        sums = sums.select(*keys, block, (F.col(upto) - F.col(total)).cast(kind).alias(before))
-        held = held.join(F.broadcast(sums) if not keys and blocks <= TOP else sums, [*keys, block])
-        held = held.withColumn(out, (F.col(out) + F.col(before)).cast(kind)).drop(before)
-    return held.drop(block, own)
+            over = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, 0)
+            totals = totals.withColumns({upto + c: F.sum(c).over(over) for c in own.values()})
+        totals = totals.select(*keys, block, *((F.col(upto + c) - F.col(c)).cast(kinds[out]).alias(before + c) for out, c in own.items()))
+        held = held.join(F.broadcast(totals) if not keys and blocks <= TOP else totals, [*keys, block])
+        held = held.withColumns({out: (F.col(out) + F.col(before + own[out])).cast(kind) for out, kind in kinds.items()})
+        held = held.drop(*(before + c for c in own.values()))
+    return held.drop(block, *own.values())
+
+
+def running_sum(df: DataFrame, order: str, value: Column, out: str, rows: int = ROWS, kind: str = "decimal(38,0)", keys: Sequence[str] = (),
+                span: Span | None = None) -> DataFrame:
+    """df with `out` = sum of value over all rows (of the same keys) with a smaller or equal order, by running_sums."""
+    return running_sums(df, order, {out: (value, kind)}, rows, keys, span)
 
 
 def ranked(df: DataFrame, order: str, out: str, rows: int = ROWS, keys: Sequence[str] = (), span: Span | None = None) -> DataFrame:

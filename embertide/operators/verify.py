@@ -15,7 +15,7 @@ from embertide.functions import exact as X
 from embertide.functions.decay import Decay, expired
 from embertide.functions.staleness import decision_problem_udf
 from embertide.operators import replay as R
-from embertide.operators.scan import Span, ranked, running_sum, span_of
+from embertide.operators.scan import Span, ranked, running_sum, running_sums, span_of
 from embertide.session import cut
 from embertide.sources.logs import log_violations
 
@@ -119,8 +119,7 @@ def live_totals(clocked: DataFrame, moved: DataFrame, span: Span | None = None)
     """clocked with the live set after each record: total (of leaves at its epoch) and entries."""
     sums = moved.select("ord", "change0", "entries")
     rows = clocked.join(sums, "ord", "left").fillna(0, ["entries"]).withColumn("change0", F.coalesce("change0", F.lit(0).cast(R.WIDE)))
-    rows = running_sum(rows, "ord", F.col("change0"), "total0", span=span)
-    rows = running_sum(rows, "ord", F.col("entries"), "live_entries", kind="bigint", span=span)
+    rows = running_sums(rows, "ord", {"total0": (F.col("change0"), R.WIDE), "live_entries": (F.col("entries"), "bigint")}, span=span)
     return rows.withColumn("total", (F.col("total0") / _power(F.col("epoch"))).cast(R.WIDE))
 
 
@@ -391,7 +390,7 @@ def explain_rows(log: DataFrame, asked: DataFrame) -> DataFrame:
     A step that is witnessed more than once gives a row for each witness; a row outside its batch gives none.
     """
     decay, _ = config(log)
-    clocked = R.clock(log)
+    clocked = cut(R.clock(log), "clock")
     moved = R.mutations(clocked, decay)
     witnesses = clocked.where("op = 'batch'").select(F.expr("try_cast(step as bigint)").alias("step"), F.col("sample_op_counter").alias("sample_op"), F.expr("try_cast(batch_rows as bigint)").alias("batch_rows"))
     rows = asked.join(witnesses, "step").where("row >= 0 and row < batch_rows")

@@ -18,7 +18,7 @@ from embertide.plans.w2_sampling import STATE, state
 from embertide.plans.w4_log import LOG, log
 from embertide.plans.w5_batches import DECIDED, decided
 from embertide.plans.w6_experiments import RUNS, runs
-from embertide.session import table
+from embertide.session import cut, table
 from embertide.sources.logs import LOG_SCHEMA
 
 QUERIES, ORACLE = {}, {}
@@ -134,6 +134,7 @@ FROM r LEFT JOIN d ON d.ord = r.sample_ord AND d.k = r.draw ASOF LEFT JOIN src O
 def explain_row(spark, sf):
     """Why each row of each witnessed batch holds what it holds."""
     out, b = attested(spark, sf)
+    out = cut(out, "log")
     w = witnesses(b, out)
     rows = w.select(F.col("step").cast("long").alias("step"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("row"))
     told = V.explain_rows(out.unionByName(w, allowMissingColumns=True), rows)
