@@ -75,34 +75,33 @@ def sums_below(moved: DataFrame, probes: DataFrame, span: Span | None = None) ->
     A slot's prefix is one node for each set bit of its number, so a probe meets at most SLOT_BITS running sums,
     each of a node's own changes; a change counts in one node for each unset bit.
     """
-    levels = F.sequence(F.lit(0), F.lit(SLOT_BITS - 1))
     part = lambda c: F.expr(f"shiftright({c}, level)")
-    spread = lambda df: df.withColumn("level", F.explode(levels))
+    spread = lambda df, c: df.withColumn("level", F.explode(F.sequence(F.lit(0), F.least(F.length(F.bin(c)), F.lit(SLOT_BITS)) - 1)))
     # nodes beyond the largest slot in use hold nothing that is asked for
     top = F.broadcast(probes.agg(F.coalesce(F.max("slot"), F.lit(0)).alias("top")))  # one row
-    changes = spread(moved.select("ord", "slot", "change0")).crossJoin(top).where("shiftright(top, level) > 0 and shiftright(slot, level) % 2 = 0")
-    changes = changes.select("level", part("slot").alias("node"), "ord", "change0")
-    asked = spread(probes.select("ord", "slot").distinct()).where("shiftright(slot, level) % 2 = 1")
-    asked = asked.select("ord", "slot", "level", (part("slot") - 1).alias("node"))
-    points = asked.select("level", "node", "ord").distinct().withColumn("change0", F.lit(0).cast(WIDE))
-    both = running_sum(changes.unionByName(points), "ord", F.col("change0"), "upto", keys=["level", "node"], span=span)
-    found = asked.join(both.select("level", "node", "ord", "upto"), ["level", "node", "ord"]).groupBy("ord", "slot").agg(F.sum("upto").cast(WIDE).alias("below"))
+    changes = spread(moved.select("ord", "slot", "change0").crossJoin(top), "top").where("shiftright(top, level) > 0 and shiftright(slot, level) % 2 = 0")
+    changes = changes.select("level", part("slot").alias("node"), "ord", F.lit(None).cast("long").alias("slot"), "change0")
+    asked = spread(probes.select("ord", "slot").distinct(), "slot").where("shiftright(slot, level) % 2 = 1")
+    asked = asked.select("level", (part("slot") - 1).alias("node"), "ord", "slot", F.lit(0).cast(WIDE).alias("change0"))
+    both = running_sum(changes.unionByName(asked), "ord", F.col("change0"), "upto", keys=["level", "node"], span=span)
+    found = both.where("slot is not null").groupBy("ord", "slot").agg(F.sum("upto").cast(WIDE).alias("below"))
     return probes.join(found, ["ord", "slot"], "left").withColumn("below", F.coalesce("below", F.lit(0).cast(WIDE)))
 
 
-def least_live(states: DataFrame, value: Column, probes: DataFrame, out: str) -> DataFrame:
+def least_live(states: DataFrame, value: Column, probes: DataFrame, out: str, span: Span | None = None) -> DataFrame:
     """probes (ord) with `out`, the least value of the states that hold at ord (null if none).
 
     A state covers the dyadic nodes of its span of orders, at most two for each level; a probe asks for the node of each
-    level above it. So live entries and probes never meet pairwise.
+    level above it. So live entries and probes never meet pairwise. span: that of the log, whose greatest order bounds the levels.
     """
-    stop = F.coalesce("stop", F.lit(1 << (ORDER_BITS - 1)).cast("long"))
+    end = 1 << (ORDER_BITS - 1) if span is None or span[2] is None else span[2] + 1
+    stop = F.coalesce("stop", F.lit(end).cast("long"))
     spans = states.select(value.alias("x"), (F.col("start") + 1).alias("a"), stop.alias("b")).where("x is not null and a < b")
-    spans = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(ORDER_BITS - 1))))
+    spans = spans.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("b") - F.col("a"))) - 1)))
     spans = spans.withColumns({"lo": F.expr("shiftright(a + shiftleft(1L, level) - 1, level)"), "hi": F.expr("shiftright(b, level)")}).where("lo < hi")
     nodes = F.filter(F.array(F.when(F.col("lo") % 2 == 1, F.col("lo")), F.when(F.col("hi") % 2 == 1, F.col("hi") - 1)), lambda n: n.isNotNull())
     held = spans.select("level", F.explode(nodes).alias("node"), "x").groupBy("level", "node").agg(F.min("x").alias("x"))
-    asked = probes.select("ord").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(ORDER_BITS - 1))))
+    asked = probes.select("ord").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(end.bit_length() - 1))))
     asked = asked.withColumn("node", F.expr("shiftright(ord, level)"))
     found = asked.join(held, ["level", "node"]).groupBy("ord").agg(F.min("x").alias(out))
     return probes.join(found, "ord", "left")

@@ -142,7 +142,7 @@ def capacity_run_problems(clocked: DataFrame, moved: DataFrame, decay: Decay, sp
 def sample_state(clocked: DataFrame, moved: DataFrame, span: Span | None = None) -> DataFrame:
     """Each draw with the state it was made in: total, live_entries, the entry of its slot, its interval lo .. hi, the least positive leaf."""
     totals = live_totals(clocked, moved, span).where("op = 'sample'").select("ord", "total", "total0", "live_entries")
-    least = R.least_live(R.lifetimes(moved), F.when(F.col("leaf0") > 0, F.col("leaf0")), totals, "least0")
+    least = R.least_live(R.lifetimes(moved), F.when(F.col("leaf0") > 0, F.col("leaf0")), totals, "least0", span)
     drawn = R.occupant(moved, R.draws_of(clocked))
     drawn = R.sums_below(moved, drawn, span).join(least, "ord")
     unit = _power(F.col("epoch"))

@@ -13,7 +13,7 @@ from embertide.operators import eventlog as L
 from embertide.operators import replay as R
 from embertide.operators import sampling as S
 from embertide.operators import verify as V
-from embertide.operators.scan import ranked
+from embertide.operators.scan import ranked, span_of
 from embertide.plans.w2_sampling import STATE, state
 from embertide.plans.w4_log import LOG, log
 from embertide.plans.w5_batches import DECIDED, decided
@@ -119,8 +119,10 @@ FROM d LEFT JOIN iv ON start < d.ord AND (stop IS NULL OR d.ord < stop) GROUP BY
 def verify_samples(spark, sf):
     """Each draw in the live set it was made from: the interval of its slot, total, count and least leaf, and whether it lies there."""
     out, _ = attested(spark, sf)
-    clocked = R.clock(out)
-    st = V.sample_state(clocked, R.mutations(clocked, DECAY))
+    out = cut(out, "log")
+    span = span_of(out, "ord")
+    clocked = cut(R.clock(out, span), "clock")
+    st = V.sample_state(clocked, cut(R.mutations(clocked, DECAY), "mutations"), span)
     real = lambda c: F.col(c).cast("double").alias(c)
     return st.select(F.floor((F.col("ord") - 5) / 2).alias("ord"), "k", "slot", real("lo"), real("leaf"), real("total"), F.col("live_entries").alias("live"), real("least"),
                      ((F.col("lo") <= F.col("draw")) & (F.col("draw") < F.col("hi"))).alias("hit"))

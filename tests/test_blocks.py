@@ -52,3 +52,8 @@ def in_blocks(spark, duck, name, most):  # noqa: F811
 @TABLES
 def test_explain_row_in_blocks(spark, duck, small_blocks):  # noqa: F811
     in_blocks(spark, duck, "explain_row", 16)
+
+
+@TABLES
+def test_verify_samples_in_blocks(spark, duck, small_blocks):  # noqa: F811
+    in_blocks(spark, duck, "verify_samples", 40)
